@@ -27,7 +27,7 @@ from tidemark.llm.common import Scratch
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-_ASCII_GAP = " \t\n\x0b\x0c\r"
+_ASCII_GAP = "\n\t\r\x0b\x0c"
 
 
 class WordTokenizer:
@@ -35,28 +35,78 @@ class WordTokenizer:
 
     The vocabulary's pre-tokenizer drops white space and never looks across it,
     so the ids of a text are those of its white-space separated words in order.
+    It also splits letters from what is neither letter, number nor space, and
+    lower-cases: new words that differ only in ASCII case or in a closing full
+    stop or comma are encoded once.  New words are encoded together, parted at
+    tokens that end a word or by ``|``, whose id no word without that character gives.
     """
 
-    def __init__(self, path: str, end_id: int, memo: int = 300_000):
+    def __init__(self, path: str, end_id: int, memo: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.end, self.memo, self.known = np.array([end_id], "<u4").tobytes(), memo, {}
-        self.gaps = str.maketrans({c: " " for c in _ASCII_GAP})
+        self.end, self.memo, self.known, self.stems = np.array([end_id], "<u4").tobytes(), memo, {}, {}
+        self.known[""] = b""
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.closing = {c: self._ids(c) for c in ".,"}
+        self.bar = int(np.frombuffer(self._ids("|"), "<u4")[0])
+
+    def _ids(self, word: str) -> bytes:
+        return np.array(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    @staticmethod
+    def _stem(word: str) -> tuple[str, str]:
+        end = word[-1] if len(word) > 1 and word[-1] in ".," and word[-2].isascii() and word[-2].isalpha() else ""
+        stem = word[:-1] if end else word
+        return (stem.lower() if stem.isascii() else stem), end
+
+    def _learn(self, words: list[str]) -> None:
+        parts = [self._stem(w) for w in words]
+        stems = self.stems
+        fresh = list(dict.fromkeys(s for s, _ in parts if s not in stems))
+        letters = [s for s in fresh if s.isalpha()]
+        if letters:
+            # a run of letters is one pre-token, whose last token is marked as a word's end
+            ids = np.array(self.tok.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(letters):
+                raw, cuts = ids.tobytes(), [0, *(4 * cuts).tolist()]
+                stems.update((s, raw[x:y]) for s, x, y in zip(letters, cuts, cuts[1:]))
+        plain = []
+        for s in fresh:
+            if "|" in s:
+                stems[s] = self._ids(s)
+            elif s not in stems:
+                plain.append(s)
+        if plain:
+            ids = np.array(self.tok.encode(" | ".join(plain), add_special_tokens=False).ids, "<u4")
+            raw, cuts, at = ids.tobytes(), np.flatnonzero(ids == self.bar).tolist(), 0
+            for s, cut in zip(plain, [*cuts, len(ids)], strict=True):
+                stems[s] = raw[at * 4 : cut * 4]
+                at = cut + 1
+        for w, (s, end) in zip(words, parts):
+            self.known[w] = stems[s] + self.closing[end] if end else stems[s]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text, end token included."""
-        for text in texts:
-            words = [w for w in text.translate(self.gaps).split(" ") if w] if text else []
-            known = self.known
-            missing = [w for w in dict.fromkeys(words) if w not in known]
-            if missing:
-                if len(known) + len(missing) > self.memo:
-                    known.clear()
-                    missing = list(dict.fromkeys(words))
-                for w, e in zip(missing, self.tok.encode_batch_fast(missing, add_special_tokens=False)):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
+        split = []
+        for t in texts:
+            for c in _ASCII_GAP:
+                t = t.replace(c, " ") if t else ""
+            split.append(t.split(" "))
+        known = self.known
+        missing = list(set().union(*split) - known.keys())
+        if missing and len(known) + len(missing) > self.memo:
+            known.clear()
+            self.stems.clear()
+            known[""] = b""
+            missing = list(set().union(*split) - known.keys())
+        if missing:
+            self._learn(missing)
+        for words in split:
             yield b"".join([known[w] for w in words]) + self.end
 
 
