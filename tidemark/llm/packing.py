@@ -41,12 +41,13 @@ class WordTokenizer:
     tokens that end a word or by ``|``, whose id no word without that character gives.
     """
 
-    def __init__(self, path: str, end_id: int, memo: int = 500_000):
+    def __init__(self, path: str, end_id: int, memo: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.end, self.memo, self.known, self.stems = np.array([end_id], "<u4").tobytes(), memo, {}, {}
+        self.old: dict[str, bytes] = {}
         self.known[""] = b""
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -100,16 +101,28 @@ class WordTokenizer:
         known = self.known
         missing = list(set().union(*split) - known.keys())
         if missing and len(known) + len(missing) > self.memo:
-            known.clear()
+            # the memo has two generations: words still in use come back from the old one
+            self.old, self.known = known, (known := {"": b""})
             self.stems.clear()
-            known[""] = b""
             missing = list(set().union(*split) - known.keys())
         if missing:
-            self._learn(missing)
+            old = self.old
+            known.update((w, old[w]) for w in missing if w in old)
+            self._learn([w for w in missing if w not in known])
         for words in split:
             yield b"".join([known[w] for w in words]) + self.end
 
 
+_TOKENIZERS: dict[tuple[str, int], WordTokenizer] = {}
+
+
+def tokenizer(path: str, end_id: int) -> WordTokenizer:
+    """One per worker process, so that the memo outlives a task."""
+    if (path, end_id) not in _TOKENIZERS:
+        _TOKENIZERS[path, end_id] = WordTokenizer(path, end_id)
+    return _TOKENIZERS[path, end_id]
+
+
 class Windows:
     """A fixed number of open windows with best-fit placement.
 
@@ -189,7 +202,7 @@ def _packer(path: str, end_id: int, capacity: int, limit: int, min_cut: int):
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 40
-        tok, windows, done, out = WordTokenizer(path, end_id), Windows(capacity, limit, min_cut), 0, _fresh()
+        tok, windows, done, out = tokenizer(path, end_id), Windows(capacity, limit, min_cut), 0, _fresh()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
