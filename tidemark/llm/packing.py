@@ -35,10 +35,10 @@ class WordTokenizer:
 
     The vocabulary's pre-tokenizer drops white space and never looks across it,
     so the ids of a text are those of its white-space separated words in order.
-    It also splits letters from what is neither letter, number nor space, and
-    lower-cases: new words that differ only in ASCII case or in a closing full
-    stop or comma are encoded once.  New words are encoded together, parted at
-    tokens that end a word or by ``|``, whose id no word without that character gives.
+    It also splits letters from what is neither letter, number nor space: a
+    word that only adds a full stop or comma to letters is put together.  New
+    words are encoded in one call, parted at tokens that end a word or by
+    ``|``, whose id no word without that character gives.
     """
 
     def __init__(self, path: str, end_id: int, memo: int = 400_000):
@@ -46,8 +46,7 @@ class WordTokenizer:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.end, self.memo, self.known, self.stems = np.array([end_id], "<u4").tobytes(), memo, {}, {}
-        self.old: dict[str, bytes] = {}
+        self.end, self.memo, self.known, self.old = np.array([end_id], "<u4").tobytes(), memo, {}, {}
         self.known[""] = b""
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -58,59 +57,53 @@ class WordTokenizer:
     def _ids(self, word: str) -> bytes:
         return np.array(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    @staticmethod
-    def _stem(word: str) -> tuple[str, str]:
-        end = word[-1] if len(word) > 1 and word[-1] in ".," and word[-2].isascii() and word[-2].isalpha() else ""
-        stem = word[:-1] if end else word
-        return (stem.lower() if stem.isascii() else stem), end
-
     def _learn(self, words: list[str]) -> None:
-        parts = [self._stem(w) for w in words]
-        stems = self.stems
-        fresh = list(dict.fromkeys(s for s, _ in parts if s not in stems))
-        letters = [s for s in fresh if s.isalpha()]
+        known = self.known
+        closed = [w for w in words if w[-1] in ".," and w[:-1].isalpha()]
+        letters = [w for w in words if w.isalpha()]
+        have = set(letters)
+        letters += [h for h in {w[:-1] for w in closed} if h not in have and h not in known]
         if letters:
             # a run of letters is one pre-token, whose last token is marked as a word's end
             ids = np.array(self.tok.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(cuts) == len(letters):
-                raw, cuts = ids.tobytes(), [0, *(4 * cuts).tolist()]
-                stems.update((s, raw[x:y]) for s, x, y in zip(letters, cuts, cuts[1:]))
-        plain = []
-        for s in fresh:
-            if "|" in s:
-                stems[s] = self._ids(s)
-            elif s not in stems:
-                plain.append(s)
+                raw, cuts = ids.tobytes(), [0, *cuts.tolist()]
+                known.update(zip(letters, map(raw.__getitem__, map(slice, cuts, cuts[1:]))))
+        rest = [w for w in [*letters, *words] if w not in known]
+        heads = {w[:-1] for w in closed if w[:-1] in known}
+        rest = list(dict.fromkeys(w for w in rest if not (w[-1] in ".," and w[:-1] in heads)))
+        plain = [w for w in rest if "|" not in w]
+        known.update((w, self._ids(w)) for w in rest if "|" in w)
         if plain:
             ids = np.array(self.tok.encode(" | ".join(plain), add_special_tokens=False).ids, "<u4")
             raw, cuts, at = ids.tobytes(), np.flatnonzero(ids == self.bar).tolist(), 0
-            for s, cut in zip(plain, [*cuts, len(ids)], strict=True):
-                stems[s] = raw[at * 4 : cut * 4]
+            for w, cut in zip(plain, [*cuts, len(ids)], strict=True):
+                known[w] = raw[at * 4 : cut * 4]
                 at = cut + 1
-        for w, (s, end) in zip(words, parts):
-            self.known[w] = stems[s] + self.closing[end] if end else stems[s]
+        closing = self.closing
+        known.update((w, known[w[:-1]] + closing[w[-1]]) for w in closed)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text, end token included."""
         split = []
         for t in texts:
             for c in _ASCII_GAP:
-                t = t.replace(c, " ") if t else ""
-            split.append(t.split(" "))
+                if t and c in t:
+                    t = t.replace(c, " ")
+            split.append(t.split(" ") if t else [])
         known = self.known
-        missing = list(set().union(*split) - known.keys())
+        missing = [w for w in set().union(*split) if w not in known]
         if missing and len(known) + len(missing) > self.memo:
             # the memo has two generations: words still in use come back from the old one
             self.old, self.known = known, (known := {"": b""})
-            self.stems.clear()
-            missing = list(set().union(*split) - known.keys())
+            missing = [w for w in set().union(*split) if w not in known]
         if missing:
             old = self.old
             known.update((w, old[w]) for w in missing if w in old)
             self._learn([w for w in missing if w not in known])
         for words in split:
-            yield b"".join([known[w] for w in words]) + self.end
+            yield b"".join(map(known.__getitem__, words)) + self.end
 
 
 _TOKENIZERS: dict[tuple[str, int], WordTokenizer] = {}
