@@ -7,7 +7,8 @@ ancestor directory that holds a licence, found by joins on directory paths.
 Everything is DataFrame and SQL functions.
 
 Lines without any anchor term are not scored: by the Cauchy-Schwarz inequality
-they cannot reach the threshold (see ``anchors``).
+they cannot reach the threshold (see ``anchors``); nor can lines with too much
+else in them (see ``possible``).
 
 Edge cases: a null or empty text has no notice; a null path has no directory
 and inherits nothing; ties go to the first template, then the first line, then
@@ -99,6 +100,22 @@ def template_rows(templates=TEMPLATES) -> list[tuple[int, str, str, float]]:
     return out
 
 
+def possible(tokens: Column, templates, threshold: float) -> Column:
+    """Whether a line could reach the threshold for any template.
+
+    A cosine of t needs at least t squared of the line's squared weight in
+    template terms; every other distinct term weighs ``unknown_idf`` or more.
+    """
+    _, idf = weights(templates)
+    terms = F.create_map(*[x for t, w in sorted(idf.items()) for x in (F.lit(t), F.lit(w))])
+    known = F.filter(tokens, lambda t: t.isin(sorted(idf)))
+    own = F.array_distinct(known)
+    weight = lambda t: F.pow(F.element_at(terms, t) * F.size(F.filter(known, lambda x: x == t)), 2)
+    shared = F.aggregate(own, F.lit(0.0), lambda acc, t: acc + weight(t))
+    others = F.size(F.array_distinct(tokens)) - F.size(own)
+    return shared >= (threshold**2 - 1e-6) * (shared + others * unknown_idf(templates) ** 2)
+
+
 def _best(pieces: DataFrame, keys: list[str], templates, threshold: float) -> DataFrame:
     """The best template of each piece (``keys`` name it; ``text`` holds it), at the threshold or above."""
     spark = pieces.sparkSession
@@ -139,7 +156,8 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", te
     # one line per distinct wording is scored: notices repeat across a corpus
     noted = scratch.write(
         rows.where(F.col("text").rlike(word)).select("id", "path", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
-        .where(F.col("text").rlike(word)),
+        .where(F.col("text").rlike(word))
+        .where(possible(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)), templates, threshold)),
         "lines",
     )
     lines = _best(noted.select("text").distinct().withColumn("line", F.col("text")), ["line"], templates, threshold)
