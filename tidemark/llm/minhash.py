@@ -9,8 +9,11 @@ sets.
 
 Texts with equal shingle sets are one class from the start.  Within a bucket
 members are first compared with its smallest member; only buckets that still
-hold several components are searched further, in blocks, and only pairs across
-components leave the search.  So no group of copies is expanded into pairs.
+hold several components are searched further, in blocks of bounded size: a pass
+over signatures finds who takes part in which block, a second brings their sets
+there and confirms pairs across components, each in the first bucket that the
+pair shares.  What leaves a block is a spanning forest of its links, so no
+group of copies is expanded into pairs.
 
 Edge cases: a null, empty or blank text has no shingle and links with nothing;
 fewer words than a shingle make one shingle; repeated rows are copies; an empty
@@ -44,9 +47,9 @@ class Config:
     width: int = 5
     errors: int = 1
     seed: int = 11
-    block: int = 2048
-    #: Pairs that agree in fewer values are not confirmed: six standard deviations below what a link shows.
-    least_equal: int = 16
+    block: int = 512
+    #: Pairs that agree in fewer values are not confirmed: four standard deviations below what a link shows.
+    least_equal: int = 22
 
     @property
     def size(self) -> int:
@@ -111,16 +114,20 @@ def _sign(cfg: Config):
     return run
 
 
+def _kept(cfg: Config) -> list[list[int]]:
+    """The signature positions of each key."""
+    return [[c * cfg.width + i for i in kept] for c in range(cfg.chunks) for kept in itertools.combinations(range(cfg.width), cfg.width - cfg.errors)]
+
+
 def keys(sig: np.ndarray, cfg: Config) -> np.ndarray:
     """Bucket keys of signatures: for each chunk, each way to leave ``errors`` values out."""
     s, out = sig.astype(np.uint64), []
-    for c in range(cfg.chunks):
-        for kept in itertools.combinations(range(cfg.width), cfg.width - cfg.errors):
-            with np.errstate(over="ignore"):
-                h = np.full(len(s), len(out) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                for i in kept:
-                    h = wm.mix(h ^ s[:, c * cfg.width + i]) + np.uint64(0x632BE59BD9B4E019)
-            out.append(h)
+    for k, kept in enumerate(_kept(cfg)):
+        with np.errstate(over="ignore"):
+            h = np.full(len(s), k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            for i in kept:
+                h = wm.mix(h ^ s[:, i]) + np.uint64(0x632BE59BD9B4E019)
+        out.append(h)
     return np.stack(out, axis=1).view(np.int64)
 
 
@@ -129,7 +136,7 @@ def _read(column: pa.Array, size: int) -> np.ndarray:
 
 
 def _key_rows(cfg: Config, carry: int):
-    """(id, ..., sig) to one row per key: key and the first ``carry`` columns."""
+    """(id, ..., sig) to one row per key: key, its number and the first ``carry`` columns."""
 
     def run(batches):
         for batch in batches:
@@ -137,7 +144,8 @@ def _key_rows(cfg: Config, carry: int):
                 part = batch.slice(lo, 2048)
                 k = keys(_read(part.column(part.num_columns - 1), cfg.size), cfg)
                 rep = pa.array(np.repeat(np.arange(part.num_rows), k.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(k.ravel())] + [part.column(i).take(rep) for i in range(carry)], names=["key"] + [part.schema.names[i] for i in range(carry)])
+                slot = np.tile(np.arange(k.shape[1], dtype=np.int32), part.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(slot)] + [part.column(i).take(rep) for i in range(carry)], names=["key", "slot"] + [part.schema.names[i] for i in range(carry)])
 
     return run
 
@@ -160,42 +168,79 @@ def _runs(batches, key_at: int = 0):
         yield pa.Table.from_batches(held)
 
 
-def _across(cfg: Config):
-    """Pairs within a bucket block that belong to different components and may be links."""
+def _candidates(t: pa.Table, cfg: Config):
+    """Pairs of rows of a block that may be links across components, in the first bucket they share; best first."""
+    ids, comp, size = (t.column(c).to_numpy() for c in ("id", "component", "n_shingles"))
+    side, slot = t.column("side").to_numpy(), int(t.column("slot")[0].as_py())  # side 1: left, 2: right, 3: both
+    sig, kept = _read(t.column("sig").combine_chunks(), cfg.size), _kept(cfg)
+    left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
+    out = []
+    step = max(1, 200_000 // max(1, len(right)))
+    for lo in range(0, len(left), step):
+        rows = left[lo : lo + step]
+        ok = comp[rows][:, None] != comp[right][None, :]
+        # inside a block with itself each pair shows up twice
+        ok &= (ids[rows][:, None] < ids[right][None, :]) | ((side[rows] != 3)[:, None] | (side[right] != 3)[None, :])
+        ok &= 100 * np.minimum(size[rows][:, None], size[right][None, :]) >= cfg.similarity * np.maximum(size[rows][:, None], size[right][None, :])
+        x, y = np.nonzero(ok)
+        xs, ys = rows[x], right[y]
+        same = sig[xs] == sig[ys]
+        agree = same.sum(axis=1)
+        good = agree >= cfg.least_equal
+        for earlier in kept[:slot]:
+            good[good] &= ~same[good][:, earlier].all(axis=1)
+        out.append(np.stack([xs[good], ys[good], agree[good]], axis=1))
+    pairs = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
+    return pairs[np.argsort(-pairs[:, 2], kind="stable")]
+
+
+def _take_part(cfg: Config):
+    """Bucket blocks to the rows of them that have a pair to confirm."""
 
     def run(batches):
-        out_a, out_b = [], []
         for t in _runs(batches):
-            n = t.num_rows
-            if n < 2:
+            if t.num_rows < 2:
                 continue
-            ids, comp, size = (t.column(c).to_numpy() for c in ("id", "component", "n_shingles"))
-            side = t.column("side").to_numpy()  # 1: left rows, 2: right rows, 3: both (a block with itself)
-            sig = _read(t.column("sig").combine_chunks(), cfg.size)
-            left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
-            step = max(1, 4_000_000 // max(1, len(right) * cfg.size))
-            for lo in range(0, len(left), step):
-                rows = left[lo : lo + step]
-                ok = (comp[rows][:, None] != comp[right][None, :]) & (ids[rows][:, None] != ids[right][None, :])
-                ok &= 100 * np.minimum(size[rows][:, None], size[right][None, :]) >= cfg.similarity * np.maximum(size[rows][:, None], size[right][None, :])
-                x, y = np.nonzero(ok)
-                for p in range(0, len(x), 100_000):
-                    xs, ys = rows[x[p : p + 100_000]], right[y[p : p + 100_000]]
-                    good = (sig[xs] == sig[ys]).sum(axis=1) >= cfg.least_equal
-                    a, b = ids[xs[good]], ids[ys[good]]
-                    out_a.append(np.minimum(a, b)), out_b.append(np.maximum(a, b))
-            if sum(map(len, out_a)) > 10_000:
-                yield _pairs(out_a, out_b)
-                out_a, out_b = [], []
-        if out_a:
-            yield _pairs(out_a, out_b)
+            pairs = _candidates(t, cfg)
+            if len(pairs):
+                hit = pa.array(np.unique(pairs[:, :2]))
+                yield from t.select(["bucket", "slot", "id", "component", "side"]).take(hit).combine_chunks().to_batches()
+
+    return run
+
+
+def _judge(cfg: Config):
+    """Bucket blocks with full sets to a spanning forest of their links across components."""
+
+    def run(batches):
+        for t in _runs(batches):
+            sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+            ids, comp = t.column("id").to_numpy(), t.column("component").to_numpy()
+            top: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while top.get(c, c) != c:
+                    c = top[c]
+                return c
+
+            a, b = [], []
+            for x, y, _ in _candidates(t, cfg).tolist():
+                p, q = root(int(comp[x])), root(int(comp[y]))
+                if p != q and _linked(sets[x], sets[y], cfg):
+                    top[max(p, q)] = min(p, q)
+                    a.append(min(ids[x], ids[y])), b.append(max(ids[x], ids[y]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _pairs(a: list, b: list) -> pa.RecordBatch:
-    both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+def _linked(p: np.ndarray, q: np.ndarray, cfg: Config) -> bool:
+    """Whether two sorted sets are similar enough."""
+    both = np.concatenate([p, q])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= cfg.similarity * (len(both) - common)
 
 
 def _set_rows(cfg: Config):
@@ -214,9 +259,7 @@ def _confirm(cfg: Config):
         for batch in batches:
             keep = []
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                if 100 * common >= cfg.similarity * (len(p) + len(q) - common):
+                if _linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), cfg):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
 
@@ -227,20 +270,22 @@ class _Join:
     """The state of one run: classes with signatures, and the texts they stand for."""
 
     def __init__(self, docs: DataFrame, scratch: Scratch, cfg: Config):
-        self.docs, self.scratch, self.cfg, self.k = docs, scratch, cfg, 0
+        self.docs, self.scratch, self.cfg = docs, scratch, cfg
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs`` (class numbers a < b) whose full sets are similar enough."""
-        cfg, self.k = self.cfg, self.k + 1
-        pairs = self.scratch.write(pairs.distinct(), f"pairs{self.k}")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    def sets(self, wanted: DataFrame, name: str) -> DataFrame:
+        """(id, shingles) of the classes in ``wanted``."""
         reps = self.reps.join(wanted, "id").select("id", "r_id", "r_key")
         texts = reps.hint("shuffle_hash").join(self.docs, reps["r_id"].eqNullSafe(self.docs["doc_id"]) & (reps["r_key"] == self.docs["t_key"])).select("id", "text")
-        sets = self.scratch.write(texts.dropDuplicates(["id"]).mapInArrow(_set_rows(cfg), "id long, shingles binary"), f"sets{self.k}")
+        return self.scratch.write(texts.mapInArrow(_set_rows(self.cfg), "id long, shingles binary").dropDuplicates(["id"]), name)
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (class numbers a < b) whose full sets are similar enough."""
+        pairs = self.scratch.write(pairs, "pairs")
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "sets")
         a, b = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
         both = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y")
-        out = self.scratch.write(both.mapInArrow(_confirm(cfg), "a long, b long"), f"links{self.k}")
-        self.scratch.drop(f"sets{self.k}")
+        out = self.scratch.write(both.mapInArrow(_confirm(self.cfg), "a long, b long"), "links")
+        self.scratch.drop("sets")
         return out
 
 
@@ -268,7 +313,7 @@ def classes_and_links(docs: DataFrame, scratch: Scratch, cfg: Config) -> tuple[D
     join.reps = classes.select("id", "r_id", "r_key")
     sig = classes.select("id", "n_shingles", "sig")
     # buckets with two classes or more
-    key_rows = scratch.write(sig.select("id", "sig").mapInArrow(_key_rows(cfg, 1), "key long, id long"), "keys")
+    key_rows = scratch.write(sig.select("id", "sig").mapInArrow(_key_rows(cfg, 1), "key long, slot int, id long"), "keys")
     shared = scratch.write(key_rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1"), "shared")
     crowded = scratch.write(key_rows.join(shared, "key"), "crowded")
     scratch.drop("keys")
@@ -276,33 +321,24 @@ def classes_and_links(docs: DataFrame, scratch: Scratch, cfg: Config) -> tuple[D
     a, b = sig.select(F.col("id").alias("a"), F.col("sig").alias("x"), F.col("n_shingles").alias("na")), sig.select(F.col("id").alias("b"), F.col("sig").alias("y"), F.col("n_shingles").alias("nb"))
     near = stars.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= cfg.similarity * F.greatest("na", "nb")).mapInArrow(_near(cfg), "a long, b long")
     links = join.links(near)
-    tested = near
-    for turn in range(3):
-        labels = components(links, scratch, f"cc{turn}")
-        marked = crowded.join(labels, crowded["id"] == labels["v"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        if turn == 2:
-            break
-        # stars between components: each component's smallest member in a bucket against the bucket's other components
-        heads = marked.groupBy("key", "component").agg(F.min("id").alias("id"))
-        heads = heads.join(heads.groupBy("key").agg(F.count("*").alias("m"), F.max("id").alias("last")).where("m > 1"), "key").where("id <> last")
-        more = heads.select(F.least("id", "last").alias("a"), F.greatest("id", "last").alias("b")).distinct()
-        more = more.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= cfg.similarity * F.greatest("na", "nb")).mapInArrow(_near(cfg), "a long, b long")
-        fresh = join.links(more)
-        if fresh.isEmpty():
-            break
-        links = links.unionByName(fresh)
+    labels = components(links, scratch, "stars")
+    marked = crowded.join(labels, crowded["id"] == labels["v"], "left").select("key", "slot", "id", F.coalesce("component", "id").alias("component"))
     # exactly: every pair across components that shares a bucket, in blocks of bounded size
     mixed = marked.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")).where("c0 <> c1").select("key", "n")
     rows = marked.join(mixed, "key").join(sig, "id")
     count = F.ceil(F.col("n") / cfg.block).cast("int")
     mine = F.pmod(F.xxhash64("id"), count).cast("int")
-    # block i meets block j for i <= j: a row of block m is left in (m, j >= m) and right in (i <= m, m)
+    # a row of block m is left in (m, j > m), right in (i < m, m), and both in (m, m)
     meets = F.transform(F.sequence(F.lit(0), count - 1), lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j"), F.when(o == mine, 3).when(o > mine, 1).otherwise(2).alias("side")))
-    dealt = rows.select("key", "id", "component", "n_shingles", "sig", F.inline(meets))
-    dealt = dealt.select(F.xxhash64("key", "i", "j").alias("bucket"), "id", "component", "n_shingles", "sig", "side")
-    found = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_across(cfg), "a long, b long").distinct()
-    found = found.join(tested, ["a", "b"], "left_anti")
-    links = links.unionByName(join.links(found))
+    dealt = rows.select("key", "slot", "id", "component", "n_shingles", "sig", F.inline(meets))
+    dealt = dealt.select(F.xxhash64("key", "i", "j").alias("bucket"), "slot", "id", "component", "n_shingles", "sig", "side")
+    part = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_take_part(cfg), "bucket long, slot int, id long, component long, side int")
+    part = scratch.write(part, "part")
+    sets = join.sets(part.select("id").distinct(), "part-sets")
+    full = part.join(sets, "id").join(sig, "id").select("bucket", "slot", "id", "component", "n_shingles", "sig", "side", "shingles")
+    found = scratch.write(full.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_judge(cfg), "a long, b long"), "forest")
+    scratch.drop("part-sets")
+    links = links.unionByName(found)
     return signed.drop("sig", "t_key").join(classes.select("n_shingles", "s1", "s2", "id"), ["n_shingles", "s1", "s2"], "left"), links
 
 
