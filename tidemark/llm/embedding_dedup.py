@@ -41,7 +41,7 @@ class Config:
     bits: int = 64
     tables: int = 5
     errors: int = 1
-    radius: int = 22
+    radius: int = 16
     block: int = 2048
     seed: int = 3
 
