@@ -41,7 +41,7 @@ class WordTokenizer:
     ``|``, whose id no word without that character gives.
     """
 
-    def __init__(self, path: str, end_id: int, memo: int = 400_000):
+    def __init__(self, path: str, end_id: int, memo: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -197,8 +197,8 @@ def _packer(path: str, end_id: int, capacity: int, limit: int, min_cut: int):
         base = TaskContext.get().partitionId() << 40
         tok, windows, done, out = tokenizer(path, end_id), Windows(capacity, limit, min_cut), 0, _fresh()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
                 for doc, ids in zip(part.column(0).to_pylist(), tok.encode(part.column(1).to_pylist())):
                     n = len(ids) // 4
                     for window in windows.place(n, (doc, 0, ids, n), _cut):
