@@ -334,8 +334,8 @@ def classes_and_links(docs: DataFrame, scratch: Scratch, cfg: Config) -> tuple[D
     dealt = dealt.select(F.xxhash64("key", "i", "j").alias("bucket"), "slot", "id", "component", "n_shingles", "sig", "side")
     part = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_take_part(cfg), "bucket long, slot int, id long, component long, side int")
     part = scratch.write(part, "part")
-    sets = join.sets(part.select("id").distinct(), "part-sets")
-    full = part.join(sets, "id").join(sig, "id").select("bucket", "slot", "id", "component", "n_shingles", "sig", "side", "shingles")
+    sets = join.sets(part.select("id").distinct(), "part-sets").join(sig, "id")
+    full = part.join(sets, "id").select("bucket", "slot", "id", "component", "n_shingles", "sig", "side", "shingles")
     found = scratch.write(full.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_judge(cfg), "a long, b long"), "forest")
     scratch.drop("part-sets")
     links = links.unionByName(found)
