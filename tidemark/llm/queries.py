@@ -54,12 +54,16 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents"))
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows whose labels may be learned: crc32(doc_id) mod 4 is not 2."""
-    labels = table(spark, sf_dir, "labels").where("toxic is not null").select("doc_id", F.col("toxic").alias("label"))
+def labelled(spark: SparkSession, sf_dir: str, rows: int = toxicity.Config().rows) -> DataFrame:
+    """A sample of at most ``rows`` labels that may be learned (crc32(doc_id) mod 4 is not 2), with their texts.
+
+    Labels are picked by hash before any text is read, so only picked texts move.
+    """
+    labels = table(spark, sf_dir, "labels").where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").alias("label"))
     labels = labels.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    picked = labels.orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(toxicity.Config().seed)), "doc_id").limit(rows)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return docs.join(labels, "doc_id").withColumnRenamed("doc_id", "key")
+    return docs.join(F.broadcast(picked), "doc_id").withColumnRenamed("doc_id", "key")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
