@@ -59,7 +59,7 @@ def price_statistics(offers: DataFrame, item: list[str], vendor: str, price: str
     """Best, worst, mean and median price per item, and what the best saves."""
     g = offers.groupBy(*item).agg(
         F.min(price).alias("min_price"), F.max(price).alias("max_price"), F.round(F.avg(price), 4).alias("avg_price"),
-        F.round(F.median(price), 4).alias("median_price"), F.count_distinct(vendor).alias("vendors"), F.min_by(vendor, F.struct(price, vendor)).alias("best_vendor"),
+        F.round(F.median(price), 7).alias("median_price"), F.count_distinct(vendor).alias("vendors"), F.min_by(vendor, F.struct(price, vendor)).alias("best_vendor"),
     )
     return g.withColumn("saving", F.col("max_price") - F.col("min_price"))
 

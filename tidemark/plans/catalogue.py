@@ -35,11 +35,11 @@ def _offers(spark: SparkSession, d: str) -> DataFrame:
     return line.join(_read(spark, d, "part").select("p_partkey", "p_name", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
 
 
-@_query(f"""SELECT p_name, p_brand, min(price) AS min_price, max(price) AS max_price, round(median(price), 2) AS median_price, count(DISTINCT l_suppkey) AS vendors,
+@_query(f"""SELECT p_name, p_brand, min(price) AS min_price, max(price) AS max_price, round(median(price), 7) AS median_price, count(DISTINCT l_suppkey) AS vendors,
  arg_min(l_suppkey, (price, l_suppkey)) AS best_vendor, max(price) - min(price) AS saving FROM ({_OFFERS}) GROUP BY ALL""")
 def price_comparison(spark, d):
     g = R.price_statistics(_offers(spark, d), ["p_name", "p_brand"], "l_suppkey", "price")
-    return g.withColumn("median_price", F.round("median_price", 2)).drop("avg_price")
+    return g.drop("avg_price")
 
 
 @_query(f"""SELECT l_partkey, l_orderkey, l_linenumber, old_price, price AS new_price FROM (
