@@ -53,6 +53,14 @@ def test_similarity(spark):
         assert abs(r[0] - (200 * lcs(a, b) / (len(a) + len(b)) if a + b else 100)) < 1e-9
 
 
+def test_token_set_ratio(spark):
+    pairs = [("a b", ""), ("city hospital", "hospital city kota"), ("alpha beta", "alpha gamma"), ("ab cd", "xy")]
+    got = [r[0] for r in spark.createDataFrame(pairs, "a string, b string").select(T.token_set_ratio(F.col("a"), F.col("b"))).collect()]
+    r = lambda a, b: 200 * lcs(a, b) / (len(a) + len(b))
+    want = [0, 100, max(r("alpha", "alpha beta"), r("alpha", "alpha gamma"), r("alpha beta", "alpha gamma")), r("ab cd", "xy")]
+    assert all(abs(a - b) < 1e-9 for a, b in zip(got, want))
+
+
 def test_scalars(spark):
     one = lambda c, v: spark.createDataFrame([(v,)], "v string").select(c(F.col("v"))).first()[0]
     assert one(T.price, "₹1,250.50") == 1250.5 and one(T.price, "100-200") is None and one(T.price, "on request") is None and one(T.price, "0") == 0

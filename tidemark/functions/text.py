@@ -66,6 +66,17 @@ def token_sort_ratio(a: Column, b: Column) -> Column:
     return ratio(order(a), order(b))
 
 
+def token_set_ratio(a: Column, b: Column) -> Column:
+    """Best ratio among the shared words alone and with either side's rest; 0 if a side has no words, 100 if one holds the other."""
+    x, y = F.array_distinct(tokens(a)), F.array_distinct(tokens(b))
+    both, left, right = F.array_intersect(x, y), F.array_except(x, y), F.array_except(y, x)
+    text = lambda *parts: F.array_join(F.concat(*[F.array_sort(p) for p in parts]), " ")
+    base, one, two = text(both), text(both, left), text(both, right)
+    rest = ratio(one, two)
+    best = F.when(F.size(both) == 0, rest).otherwise(F.greatest(ratio(base, one), ratio(base, two), rest))
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).when((F.size(both) > 0) & ((F.size(left) == 0) | (F.size(right) == 0)), 100.0).otherwise(best)
+
+
 def emails(c: Column) -> Column:
     """Distinct lower-cased addresses without double dots."""
     found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9._%+-]+@[a-z0-9-]+(?:\\.[a-z0-9-]+)*\\.[a-z]{2,}"), F.lit(0))
