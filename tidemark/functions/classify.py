@@ -171,8 +171,8 @@ def chat_offer(line: Column) -> Column:
 def quote(unit_price: Column, quantity: Column, discount: Column, tax: Column, delivery: Column | None = None) -> Column:
     """struct of a quotation's amounts, each rounded to cents on its own; delivery is taxed with the goods."""
     subtotal = unit_price * quantity
-    taxable = subtotal - subtotal * discount + (F.lit(0.0) if delivery is None else delivery)
-    levy = taxable * F.greatest(F.lit(0.0), tax)
+    taxable = subtotal - subtotal * discount + (F.lit(0) if delivery is None else delivery)
+    levy = taxable * F.greatest(F.lit(0), tax)
     cents = lambda c: F.round(c, 2)
     return F.struct(
         cents(subtotal).alias("subtotal"), cents(subtotal * discount).alias("discount_amount"), cents(taxable).alias("taxable_amount"),

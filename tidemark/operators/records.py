@@ -28,13 +28,17 @@ def candidates(left: DataFrame, right: DataFrame, weights: dict[str, float], top
     return scored.withColumn("rank", rank).where(F.col("rank") <= top).drop("rank")
 
 
-def duplicate_groups(records: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Rows that share all ``keys`` with another, with the group's size and its primary (first in ``order``)."""
-    w = Window.partitionBy(*keys)
-    return (
-        records.withColumn("group_size", F.count("*").over(w)).where("group_size > 1")
-        .withColumn("is_primary", F.row_number().over(w.orderBy(*order)) == 1)
-    )
+def duplicate_groups(records: DataFrame, keys: list[str], best: Column, id_col: str) -> DataFrame:
+    """Rows that share all ``keys`` with another, with the group's size and its primary (largest ``best``).
+
+    Groups are aggregates joined back, so a group of any size is never one
+    task's window.  ``best`` must differ between rows, so it ends with the id.
+    """
+    g = records.groupBy(*keys).agg(F.count("*").alias("group_size"), F.max_by(id_col, best).alias("_first")).where("group_size > 1")
+    r, s = records.alias("r"), g.alias("s")
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+    joined = r.join(s, same)
+    return joined.select("r.*", "s.group_size", F.col(f"r.{id_col}").eqNullSafe(F.col("s._first")).alias("is_primary"))
 
 
 def checklist(entities: DataFrame, documents: DataFrame, key: str, kind: str, kinds: list[str], available: Column) -> DataFrame:
@@ -49,10 +53,24 @@ def checklist(entities: DataFrame, documents: DataFrame, key: str, kind: str, ki
     )
 
 
-def price_changes(offers: DataFrame, item: list[str], at: list[str], price: str) -> DataFrame:
-    """Each change of an item's price: old and new value in order of ``at``."""
-    w = Window.partitionBy(*item).orderBy(*at)
-    return offers.withColumn("old_price", F.lag(price).over(w)).where(F.col("old_price") != F.col(price)).withColumnRenamed(price, "new_price")
+def price_changes(offers: DataFrame, item: list[str], at: list[str], price: str, span: Column | None = None) -> DataFrame:
+    """Each change of an item's price: old and new value in order of ``at``.
+
+    With ``span``, a value that never falls along ``at`` (a month, say), a busy
+    item is taken span by span: the first row of a span follows the last price
+    of the item's span before, which an aggregate gives.
+    """
+    if span is None:
+        w = Window.partitionBy(*item).orderBy(*at)
+        return offers.withColumn("old_price", F.lag(price).over(w)).where(F.col("old_price") != F.col(price)).withColumnRenamed(price, "new_price")
+    rows = offers.withColumn("_span", span)
+    ends = rows.groupBy(*item, "_span").agg(F.max_by(price, F.struct(*at)).alias("_end"))
+    before = ends.withColumn("_before", F.lag("_end").over(Window.partitionBy(*item).orderBy("_span"))).drop("_end")
+    w = Window.partitionBy(*item, "_span").orderBy(*at)
+    inside = rows.withColumn("_n", F.row_number().over(w)).withColumn("_lag", F.lag(price).over(w))
+    old = F.when(F.col("_n") == 1, F.col("_before")).otherwise(F.col("_lag"))
+    joined = inside.join(before, [*item, "_span"]).withColumn("old_price", old)
+    return joined.where(F.col("old_price") != F.col(price)).withColumnRenamed(price, "new_price").drop("_span", "_before", "_n", "_lag")
 
 
 def price_statistics(offers: DataFrame, item: list[str], vendor: str, price: str) -> DataFrame:

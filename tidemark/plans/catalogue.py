@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.operators import offers as O
 from tidemark.operators import records as R
 
 FLAGSHIP = "price_comparison"
@@ -45,7 +46,7 @@ def price_comparison(spark, d):
 @_query(f"""SELECT l_partkey, l_orderkey, l_linenumber, old_price, price AS new_price FROM (
  SELECT *, lag(price) OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, price) AS old_price FROM ({_OFFERS})) WHERE old_price <> price""")
 def price_history(spark, d):
-    out = R.price_changes(_offers(spark, d), ["l_partkey"], ["l_shipdate", "l_orderkey", "l_linenumber", "price"], "price")
+    out = R.price_changes(_offers(spark, d), ["l_partkey"], ["l_shipdate", "l_orderkey", "l_linenumber", "price"], "price", F.date_format("l_shipdate", "yyyy-MM"))
     return out.select("l_partkey", "l_orderkey", "l_linenumber", "old_price", "new_price")
 
 
@@ -61,7 +62,7 @@ def document_checklist(spark, d):
 @_query("""SELECT p_partkey, p_name, p_brand, p_type, p_size, group_size, rn = 1 AS is_primary FROM (
  SELECT *, count(*) OVER w AS group_size, row_number() OVER (PARTITION BY p_name, p_brand, p_type, p_size ORDER BY p_retailprice DESC, p_partkey) AS rn FROM part WINDOW w AS (PARTITION BY p_name, p_brand, p_type, p_size)) WHERE group_size > 1""")
 def duplicate_records(spark, d):
-    out = R.duplicate_groups(_read(spark, d, "part"), ["p_name", "p_brand", "p_type", "p_size"], [F.desc("p_retailprice"), F.col("p_partkey")])
+    out = R.duplicate_groups(_read(spark, d, "part"), ["p_name", "p_brand", "p_type", "p_size"], F.struct("p_retailprice", (-F.col("p_partkey")).alias("k")), "p_partkey")
     return out.select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "group_size", "is_primary")
 
 
@@ -101,8 +102,7 @@ def master_export(spark, d):
  SELECT p_name, count(*) AS records, row_number() OVER (ORDER BY p_name) AS rank FROM part GROUP BY p_name)""")
 def entity_numbers(spark, d):
     names = _read(spark, d, "part").groupBy("p_name").agg(F.count("*").alias("records"))
-    no = F.lpad(F.row_number().over(Window.orderBy("p_name")).cast("string"), 6, "0")
-    return names.select(no.alias("no"), F.concat(F.lit("ENT-"), no).alias("entity_id"), "p_name", "records")
+    return O.numbered(names, "p_name", "ENT-").select("no", "entity_id", "p_name", "records")
 
 
 @_query("""SELECT doc_id, passage_no, passage FROM (SELECT doc_id, s // 1000 AS passage_no, substr(text, s::BIGINT + 1, 1200) AS passage
@@ -147,9 +147,16 @@ def name_links(spark, d):
     return pairs.withColumn("score", score).withColumn("band", R.band(F.col("score"))).where("score >= 50")
 
 
+def _load() -> None:
+    """Register the queries of the other modules of this package."""
+    from tidemark.plans import extended  # noqa: F401
+
+
 def queries() -> dict:
+    _load()
     return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
