@@ -46,7 +46,7 @@ def price_comparison(spark, d):
 @_query(f"""SELECT l_partkey, l_orderkey, l_linenumber, old_price, price AS new_price FROM (
  SELECT *, lag(price) OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, price) AS old_price FROM ({_OFFERS})) WHERE old_price <> price""")
 def price_history(spark, d):
-    out = R.price_changes(_offers(spark, d), ["l_partkey"], ["l_shipdate", "l_orderkey", "l_linenumber", "price"], "price", F.date_format("l_shipdate", "yyyy-MM"))
+    out = R.price_changes(_offers(spark, d), ["l_partkey"], ["l_shipdate", "l_orderkey", "l_linenumber", "price"], "price", F.year("l_shipdate") * 12 + F.month("l_shipdate"))
     return out.select("l_partkey", "l_orderkey", "l_linenumber", "old_price", "new_price")
 
 
