@@ -1,7 +1,7 @@
 """Embedding near-dedup: iterative quantisation, multi-index Hamming tables, exact rerank.
 
-A rotation for balanced binary codes is learned on a bounded sample; every
-vector gets a code.  Codes are cut into tables; a vector probes, in each table,
+A rotation for binary codes is learned on a bounded sample; every vector gets
+a code by hyperplanes through the origin.  Codes are cut into tables; a vector probes, in each table,
 the buckets within ``errors`` bits of its own chunk.  A pair is judged in the
 first table in which it meets, so each is counted once; a first pass over codes
 alone finds who takes part in which bucket, a second brings the original
@@ -33,7 +33,11 @@ from tidemark.llm.components import components
 
 @dataclass(frozen=True)
 class Config:
-    """``sample`` bounds the rows that the rotation is learned from."""
+    """``sample`` bounds the rows that the rotation is learned from.
+
+    A pair at cosine 0.9 differs in 9.2 of 64 bits with a deviation of 2.8;
+    ``radius`` lies four deviations above, so it loses almost no link.
+    """
 
     cosine: float = 0.9
     sample: int = 5000
@@ -41,7 +45,7 @@ class Config:
     bits: int = 64
     tables: int = 5
     errors: int = 1
-    radius: int = 16
+    radius: int = 20
     block: int = 2048
     seed: int = 3
 
@@ -53,33 +57,56 @@ class Config:
 
 @dataclass
 class Codebook:
-    centre: np.ndarray
     project: np.ndarray  # dimensions x bits
 
     def codes(self, x: np.ndarray) -> np.ndarray:
         """64-bit codes of unit vectors."""
-        bits = ((x - self.centre) @ self.project > 0).astype(np.uint64)
+        bits = (x @ self.project > 0).astype(np.uint64)
         return (bits << np.arange(bits.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
+def planted(x: np.ndarray, cosine: float, towards: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors and partners at exactly ``cosine``, turned in the directions ``towards``."""
+    side = towards - (towards * x).sum(axis=1, keepdims=True) * x
+    size = np.sqrt((side * side).sum(axis=1))
+    ok = size > 1e-9
+    x, side = x[ok], side[ok] / size[ok, None]
+    return x, cosine * x + np.sqrt(1 - cosine**2) * side
+
+
+def recall(book: Codebook, x: np.ndarray, cfg: Config) -> float:
+    """Share of pairs at the threshold that are judged; the worse of partners in any direction and towards other vectors."""
+    rng = np.random.default_rng(cfg.seed)
+    out = []
+    for towards in (rng.normal(size=x.shape), x[rng.permutation(len(x))] - x):
+        a, b = (book.codes(v) for v in planted(x, cfg.cosine, towards))
+        met = np.zeros(len(a), bool)
+        for first, n in cfg.chunks():
+            met |= np.bitwise_count(((a ^ b) >> np.uint64(first)) & np.uint64((1 << n) - 1)) <= cfg.errors
+        if len(a):
+            out.append(float((met & (np.bitwise_count(a ^ b) <= cfg.radius)).mean()))
+    return min(out, default=0.0)
+
+
 def learn(x: np.ndarray, cfg: Config) -> Codebook:
-    """Principal directions, then the rotation that brings the sample closest to its own signs."""
+    """The rotation that brings the centred sample closest to its own signs, or its random start where that finds more.
+
+    Only the rotation is learned from centred vectors.  Codes take hyperplanes
+    through the origin: there the bits in which a pair differs follow its own
+    angle, whatever direction all vectors share.
+    """
     rng = np.random.default_rng(cfg.seed)
-    dim = x.shape[1]
-    centre = x.mean(axis=0)
-    z = x - centre
-    _, _, vt = np.linalg.svd(z, full_matrices=True)
-    bits = min(cfg.bits, 64)
-    basis = vt[: min(bits, dim)].T
-    if bits > dim:
-        basis = np.concatenate([basis, rng.normal(size=(dim, bits - dim)) / np.sqrt(dim)], axis=1)
-    v = z @ basis
+    dim, bits = x.shape[1], min(cfg.bits, 64)
+    start = np.linalg.qr(rng.normal(size=(max(dim, bits), max(dim, bits))))[0][:dim, :bits]
+    if not len(x):
+        return Codebook(start)
+    v = (x - x.mean(axis=0)) @ start
     r, _ = np.linalg.qr(rng.normal(size=(bits, bits)))
     for _ in range(cfg.iterations):
         b = np.where(v @ r > 0, 1.0, -1.0)
         u, _, w = np.linalg.svd(b.T @ v)
         r = (u @ w).T
-    return Codebook(centre, basis @ r)
+    return max(Codebook(start @ r), Codebook(start), key=lambda book: recall(book, x, cfg))
 
 
 def vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
