@@ -186,6 +186,19 @@ def test_embeddings_common_mean(spark, mean):
     assert (got <= want).all() and got.sum() >= 0.9 * want.sum()
 
 
+def test_embeddings_lengths(spark):
+    """Vectors of each length link among themselves, in one of the sample's lengths or not."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(size=16)]) for i in range(20)]
+    for k, dim in enumerate((1, 8, 100)):
+        v = rng.normal(size=dim)
+        rows += [(100 * (k + 1) + j, [float(x) for x in v * (1 + j)]) for j in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for cfg in (embedding_dedup.Config(), embedding_dedup.Config(sample=1)):
+        got = {r[0]: tuple(r[1:]) for r in embedding_dedup.dedup(df, cfg=cfg).collect()}
+        assert all(got[100 * k + j] == (2, 100 * k, j == 0) for k in (1, 2, 3) for j in range(3))
+
+
 # 5
 def brute_spans(text):
     text, out = text or "", []

@@ -11,9 +11,9 @@ Pairs never leave a bucket: what leaves is each vector's number of links and
 the links of a spanning forest of the bucket.  Buckets beyond ``block`` rows
 are dealt out as pairs of blocks.
 
-Edge cases: vectors that are null, empty, zero, of another length than most, or
-with null or non-finite components link with nothing; equal vectors are one
-class with a multiplicity; repeated rows are copies; an empty table gives an
+Edge cases: vectors that are null, empty, zero, or with null or non-finite
+components link with nothing; vectors of different lengths do not link with
+each other; equal vectors are one class with a multiplicity; repeated rows are copies; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -109,18 +109,19 @@ def learn(x: np.ndarray, cfg: Config) -> Codebook:
     return max(Codebook(start @ r), Codebook(start), key=lambda book: recall(book, x, cfg))
 
 
-def vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the most common length among usable vectors as doubles, and which rows these are."""
+def vectors(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per length the usable vectors as doubles, and which rows these are."""
     rows = column.to_pylist()
-    good = [i for i, v in enumerate(rows) if v and all(c is not None for c in v)]
-    if not good:
-        return np.zeros((0, 0)), np.zeros(0, np.int64)
-    sizes = [len(rows[i]) for i in good]
-    dim = max(set(sizes), key=lambda s: (sizes.count(s), s))
-    good = [i for i in good if len(rows[i]) == dim]
-    x = np.array([rows[i] for i in good], dtype=np.float64)
-    ok = np.isfinite(x).all(axis=1) & (np.abs(x) > 0).any(axis=1)
-    return x[ok], np.array(good, np.int64)[ok]
+    by: dict[int, list[int]] = {}
+    for i, v in enumerate(rows):
+        if v and all(c is not None for c in v):
+            by.setdefault(len(v), []).append(i)
+    out = []
+    for good in by.values():
+        x = np.array([rows[i] for i in good], dtype=np.float64)
+        ok = np.isfinite(x).all(axis=1) & (np.abs(x) > 0).any(axis=1)
+        out.append((x[ok], np.array(good, np.int64)[ok]))
+    return out
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -128,21 +129,27 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _encode(handle, dim: int):
+def _encode(handle, cfg: Config):
+    """Vectors to (id, code, vec, d); a length that the sample lacks gets the random start."""
+
     def run(batches):
-        book = handle.value
+        books = dict(handle.value)
         for batch in batches:
-            x, rows = vectors(batch.column(1))
-            if not len(rows) or x.shape[1] != dim:
-                continue
-            codes = book.codes(unit(x)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(codes), pa.array([v.tobytes() for v in x], pa.binary())], names=["id", "code", "vec"])
+            for x, rows in vectors(batch.column(1)):
+                if not len(rows):
+                    continue
+                dim = x.shape[1]
+                if dim not in books:
+                    books[dim] = learn(np.zeros((0, dim)), cfg)
+                codes = books[dim].codes(unit(x)).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(rows)), pa.array(codes), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(np.full(len(x), dim, np.int64))], names=["id", "code", "vec", "d"])
 
     return run
 
 
 def _probes(cfg: Config):
-    """(id, code) to one row per table and probed chunk value: key, id, code, own (the value is its own)."""
+    """(id, code, d) to one row per table and probed chunk value: key, id, code, own (the value is its own)."""
 
     def run(batches):
         flips = []
@@ -153,10 +160,11 @@ def _probes(cfg: Config):
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
-                code = part.column(1).to_numpy().view(np.uint64)
+                code, size = part.column(1).to_numpy().view(np.uint64), part.column(2).to_numpy()
                 for t, first, n, flip in flips:
                     chunk = (code >> np.uint64(first)) & np.uint64((1 << n) - 1)
-                    key = (np.int64(t) << 58) | (chunk ^ np.uint64(flip)).astype(np.int64)
+                    # table, length of the vector, chunk: vectors of different lengths never meet
+                    key = (np.int64(t) << 58) | (size << 32) | (chunk ^ np.uint64(flip)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0), part.column(1), pa.array(np.full(len(code), flip == 0))], names=["key", "id", "code", "own"])
 
     return run
@@ -259,18 +267,19 @@ def dedup(table: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding
     scratch = Scratch(spark, "embeddings")
     src = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
     usable = src.where("v is not null and size(v) > 0 and exists(v, x -> x <> 0) and not exists(v, x -> x is null or isnan(x) or abs(x) = double('Infinity'))")
-    dims = usable.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).limit(1).collect()
     ids = src.select("vec_id")
-    if not dims:
+    fit = usable.select("v", F.xxhash64("vec_id", F.lit(cfg.seed)).alias("h")).orderBy("h").limit(cfg.sample).collect()
+    if not fit:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = dims[0]["d"]
-    fit = usable.where(F.size("v") == dim).select("v", F.xxhash64("vec_id", F.lit(cfg.seed)).alias("h")).orderBy("h").limit(cfg.sample).collect()
-    book = learn(unit(np.array([r["v"] for r in fit], dtype=np.float64)), cfg)
-    handle = spark.sparkContext.broadcast(book)
-    coded = scratch.write(usable.where(F.size("v") == dim).select("vec_id", "v").mapInArrow(_encode(handle, dim), "id long, code long, vec binary"), "coded")
-    classes = coded.groupBy("vec").agg(F.min("id").alias("least"), F.min("code").alias("code"), F.count("*").alias("weight"))
-    classes = scratch.write(classes.select(F.monotonically_increasing_id().alias("id"), "least", "code", "weight", "vec"), "classes")
-    probes = classes.select("id", "code").mapInArrow(_probes(cfg), "key long, id long, code long, own boolean")
+    by: dict[int, list] = {}
+    for r in fit:
+        by.setdefault(len(r["v"]), []).append(r["v"])
+    books = {dim: learn(unit(np.array(x, dtype=np.float64)), cfg) for dim, x in by.items()}
+    handle = spark.sparkContext.broadcast(books)
+    coded = scratch.write(usable.select("vec_id", "v").mapInArrow(_encode(handle, cfg), "id long, code long, vec binary, d long"), "coded")
+    classes = coded.groupBy("vec").agg(F.min("id").alias("least"), F.min("code").alias("code"), F.min("d").alias("d"), F.count("*").alias("weight"))
+    classes = scratch.write(classes.select(F.monotonically_increasing_id().alias("id"), "least", "code", "d", "weight", "vec"), "classes")
+    probes = classes.select("id", "code", "d").mapInArrow(_probes(cfg), "key long, id long, code long, own boolean")
     probes = scratch.write(probes, "probes")
     # buckets that someone owns and someone else probes; large ones are dealt as pairs of blocks
     sizes = probes.groupBy("key").agg(F.count("*").alias("n"), F.count_if("own").alias("m")).where("m > 0 and n > 1")
