@@ -415,6 +415,28 @@ def test_sharding_hot_text(spark):
     assert len(size) == 40 and max(size.values()) <= 1.3 * sum(size.values()) / 40
 
 
+def test_sharding_keeps_copies(spark):
+    """Copies stay together up to nearly a whole shard, in small tables as well, and shards stay even."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdef \n") for _ in range(n))
+    texts = [word(rng.randint(20, 400)) for _ in range(4000)]
+    for n, copies in ((2000, 2), (300, 5), (900, 10), (2500, 3), (450, 30), (12000, 1)):
+        texts += [word(n)] * copies
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sharding.shard(df).collect()
+    assert len(got) == len(texts)
+    size, where = Counter(), defaultdict(set)
+    for r in got:
+        size[r["shard"]] += r["size"]
+        where[texts[r["doc_id"]]].add(r["shard"])
+    mean = sum(size.values()) / 40
+    weight = Counter()
+    for x in texts:
+        weight[x] += len(x) + 16
+    assert max(weight.values()) > 0.5 * mean and all(len(where[x]) == 1 for x in weight if weight[x] <= mean)
+    assert len(size) == 40 and max(size.values()) <= 1.05 * mean and min(size.values()) >= 0.95 * mean
+
+
 # 1
 def brute_licenses(rows, threshold=0.7):
     """(id, path, text, is_file) to (id, path, license, origin, from)."""
