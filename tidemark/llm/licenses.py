@@ -1,8 +1,8 @@
 """Licence scans: sparse TF-IDF cosine to templates, then directory inheritance.
 
-Every line of every file is compared with licence notices, and licence files
-as wholes with full templates, by TF-IDF cosine; weights come from the
-templates.  A file without a notice of its own inherits from the nearest
+Every line of every file is compared with one-sentence licence notices by
+TF-IDF cosine; weights come from the templates.  Header blocks and licence
+files are not compared as wholes, and there are no full licence texts.  A file without a notice of its own inherits from the nearest
 ancestor directory that holds a licence, found by joins on directory paths.
 Everything is DataFrame and SQL functions.
 
