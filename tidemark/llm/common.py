@@ -7,8 +7,10 @@ re-read and never a recomputation of the whole plan.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,22 +21,33 @@ WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared scratch folder; one of our own only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(found)
+    """The shared scratch folder.
+
+    One of our own only where the session names none and runs in one process;
+    on a cluster a folder of one machine would be out of the others' reach.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if found:
+        return found
+    if not re.match(r"local(\[|$)", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    found = tempfile.mkdtemp(prefix="tidemark-")
+    context.setCheckpointDir(found)
     return found
 
 
+#: Folders of runs that may still be read, oldest first.
+_open: list[Scratch] = []
+
+
 class Scratch:
     """Tables of one operator run under the shared folder."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+        _open.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -47,12 +60,40 @@ class Scratch:
     def read(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(self.path(name))
 
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
-        jvm = self.spark._jvm
         for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            self._delete(self.path(name))
+
+    def close(self) -> None:
+        """Delete the whole run."""
+        self._delete(self.root)
+        if self in _open:
+            _open.remove(self)
+
+
+@contextmanager
+def scope():
+    """Runs begun inside end with it: their results must be written by then."""
+    before = list(_open)
+    yield
+    for run in [x for x in _open if x not in before]:
+        run.close()
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores as it needs to differ from all ``taken`` ones."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
