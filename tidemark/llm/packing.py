@@ -45,7 +45,6 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.end, self.memo, self.known, self.old = np.array([end_id], "<u4").tobytes(), memo, {}, {}
         self.known[""] = b""
         vocab = self.tok.get_vocab()
