@@ -48,8 +48,8 @@ class Config:
     errors: int = 1
     seed: int = 11
     block: int = 512
-    #: Pairs that agree in fewer values are not confirmed: four standard deviations below what a link shows.
-    least_equal: int = 22
+    #: Pairs that agree in fewer values are not confirmed: six standard deviations below what a link shows.
+    least_equal: int = 16
 
     @property
     def size(self) -> int:
@@ -339,7 +339,7 @@ def classes_and_links(docs: DataFrame, scratch: Scratch, cfg: Config) -> tuple[D
     found = scratch.write(full.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_judge(cfg), "a long, b long"), "forest")
     scratch.drop("part-sets")
     links = links.unionByName(found)
-    return signed.drop("sig", "t_key").join(classes.select("n_shingles", "s1", "s2", "id"), ["n_shingles", "s1", "s2"], "left"), links
+    return signed.drop("sig").join(classes.select("n_shingles", "s1", "s2", "id"), ["n_shingles", "s1", "s2"], "left"), links
 
 
 def _near(cfg: Config):
@@ -354,22 +354,43 @@ def _near(cfg: Config):
     return run
 
 
+def _placed(docs: DataFrame, scratch: Scratch, cfg: Config) -> DataFrame:
+    """doc_id, t_key, n_shingles and the row's group ``cls`` (null without shingles), one row per row of ``docs`` (doc_id, text)."""
+    rows, links = classes_and_links(docs, scratch, cfg)
+    labels = components(links, scratch, "final")
+    out = scratch.write(rows.join(labels, rows["id"] == labels["v"], "left").select("doc_id", "t_key", "n_shingles", F.coalesce("component", "id").alias("cls")), "placed")
+    scratch.drop("signed", "classes", "shared", "crowded", "pairs", "links", "part", "forest")
+    return out
+
+
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cfg: Config = Config()) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links) and kept, one row per document."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
-    rows, links = classes_and_links(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), scratch, cfg)
-    labels = components(links, scratch, "final")
-    placed = scratch.write(
-        rows.join(labels, rows["id"] == labels["v"], "left").select("doc_id", "n_shingles", F.coalesce("component", "id").alias("cls")), "placed"
-    )
+    scratch = Scratch(docs.sparkSession, "minhash")
+    placed = _placed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), scratch, cfg)
     least = placed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     out = placed.join(least, "cls", "left")
     component = F.coalesce("least", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, *, cfg: Config = Config()) -> DataFrame:
-    """The rows of ``docs`` without all but one of each group; of rows with equal ids in a group one stays."""
-    judged = dedup(docs, cfg=cfg).where("kept").select("doc_id").distinct()
-    return docs.join(judged, docs["doc_id"].eqNullSafe(judged["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """The rows of ``docs`` (doc_id, text, ...) without all but one of each group.
+
+    The smallest (id, hash of the text) stays; of rows with equal ids and texts
+    the one whose other columns hash lowest.  Rows without words are no copies
+    of anything, so all of them stay.
+    """
+    scratch = Scratch(docs.sparkSession, "minhash")
+    names = docs.columns
+    placed = _placed(docs.select("doc_id", "text"), scratch, cfg).where("cls is not null")
+    address = lambda: F.concat_ws("/", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), F.hex("t_key"))
+    one = placed.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t_key")).alias("m")).select("m.doc_id", "m.t_key")
+    one = one.select(address().alias("_stays"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    wordy = text.rlike("[^\\x20\\x09-\\x0D]")
+    plain = [f.name for f in docs.schema if f.dataType.typeName() in ("string", "long", "integer", "double", "float", "boolean", "date", "timestamp", "short", "byte", "decimal", "binary")]
+    row = docs.where(wordy).select(F.struct(*names).alias("row"), F.xxhash64(*plain).alias("h"), "doc_id", F.unhex(F.md5(text)).alias("t_key"))
+    # repeated rows shrink to one on the map side, so no address is hot after the shuffle
+    rows = row.select("row", "h", address().alias("at")).groupBy("at").agg(F.min_by("row", "h").alias("row"))
+    kept = rows.join(one, rows["at"] == one["_stays"], "left_semi").select("row.*")
+    return kept.unionByName(docs.where(~wordy))
