@@ -11,30 +11,36 @@ computed once per distinct word and gathered.
 Edge cases: a null, empty or blank text has no words and all pooled features
 zero; unlabelled rows are scored like others; a language without enough
 calibration rows uses the threshold of all rows; an empty table gives an empty
-result; repeated rows are scored once each; other columns are carried through.
+result; repeated rows are scored once each and train once; of equal cuts the one
+in the widest gap is taken; other columns are carried through.
 """
 
 from __future__ import annotations
 
+import pickle
 import string
 import zlib
-from dataclasses import dataclass
+from collections.abc import Iterable
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import fresh
+
 _STRIP = string.punctuation + "«»„“”‘’¿¡…–—"
 _GAPS = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
 
 
 @dataclass(frozen=True)
 class Config:
-    """Bounds and sizes of the model; ``rows`` and ``words`` bound the training sample."""
+    """Bounds and sizes of the model; ``rows``, ``size`` (bytes of text) and ``words`` bound the training sample."""
 
     rows: int = 6000
+    size: int = 32_000_000
     words: int = 2_500_000
     buckets: int = 1 << 16
     dim: int = 12
@@ -110,11 +116,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.raw(pooled) + self.shift, -60, 60)))
 
 
-def _fit(texts: list[list[str]], labels: np.ndarray, cfg: Config) -> Model:
+def _numbers(text: list[str], vocab: dict[str, int]) -> np.ndarray:
+    """The words' numbers in ``vocab``, to which new ones are added."""
+    return np.fromiter((vocab.setdefault(w, len(vocab)) for w in text), dtype=np.int32, count=len(text))
+
+
+def _rows(vocab: dict[str, int], cfg: Config) -> np.ndarray:
+    return np.array([word_rows(w, cfg) for w in vocab], dtype=np.int64).reshape(-1, 1 + len(cfg.prefixes))
+
+
+def _fit(seqs: list[np.ndarray], rows: np.ndarray, labels: np.ndarray, cfg: Config) -> Model:
+    """The model of texts given as word numbers; ``rows`` has each word's embedding rows."""
     rng = np.random.default_rng(cfg.seed)
-    vocab: dict[str, int] = {}
-    seqs = [np.array([vocab.setdefault(w, len(vocab)) for w in t], dtype=np.int64) for t in texts]
-    rows = np.array([word_rows(w, cfg) for w in vocab], dtype=np.int64).reshape(-1, 1 + len(cfg.prefixes))
     emb = rng.normal(0, cfg.init, (cfg.buckets, cfg.dim))
     conv = [rng.normal(0, 0.5 / np.sqrt(cfg.dim * w), (w, cfg.dim, cfg.filters)) for w in cfg.widths]
     bias = [np.zeros(cfg.filters) for _ in cfg.widths]
@@ -134,7 +147,7 @@ def _fit(texts: list[list[str]], labels: np.ndarray, cfg: Config) -> Model:
         rng.shuffle(order)
         for lo in range(0, len(order), cfg.batch):
             ids = order[lo : lo + cfg.batch]
-            flat = np.concatenate([seqs[i] for i in ids] or [np.zeros(0, np.int64)])
+            flat = np.concatenate([seqs[i] for i in ids] or [np.zeros(0, np.int32)])
             lengths = np.array([len(seqs[i]) for i in ids])
             offsets = np.concatenate([[0], np.cumsum(lengths)])
             own, inv = np.unique(flat, return_inverse=True)
@@ -187,15 +200,14 @@ def _fit(texts: list[list[str]], labels: np.ndarray, cfg: Config) -> Model:
     return m
 
 
-def _features(m: Model, texts: list[list[str]]) -> np.ndarray:
+def _features(m: Model, seqs: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """Pooled features of texts given as word numbers."""
     out = []
-    for lo in range(0, len(texts), 256):
-        part = texts[lo : lo + 256]
-        vocab: dict[str, int] = {}
-        flat = np.array([vocab.setdefault(w, len(vocab)) for t in part for w in t], dtype=np.int64)
+    for lo in range(0, len(seqs), 256):
+        part = seqs[lo : lo + 256]
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in part])])
-        rows = np.array([word_rows(w, m.cfg) for w in vocab], dtype=np.int64).reshape(-1, 1 + len(m.cfg.prefixes))
-        out.append(m.pooled(m.shares(rows)[flat], offsets))
+        own, at = np.unique(np.concatenate(part), return_inverse=True)
+        out.append(m.pooled(m.shares(rows[own])[at], offsets))
     return np.concatenate(out) if out else np.zeros((0, m.cfg.filters * len(m.cfg.widths)))
 
 
@@ -214,39 +226,33 @@ def _best_cut(raw: np.ndarray, y: np.ndarray) -> float:
     return float((s[k] + s[k + 1]) / 2)
 
 
-def train(labelled: DataFrame, cfg: Config = Config(), cut: float = 0.3) -> Model:
-    """Fit on a bounded sample of ``labelled`` (key, text, label, lang) and calibrate.
+def _prior(y: np.ndarray, cfg: Config) -> Model:
+    """One class only, or no row: the prior is all there is to learn."""
+    m = _fit([], np.zeros((0, 1 + len(cfg.prefixes)), np.int64), np.array([0.0, 1.0]), replace(cfg, epochs=0))
+    m.out[:] = 0
+    m.shift, m.thresholds = (4.0 if len(y) and y.max() == 1 else -4.0), {}
+    return m
 
-    The sample is the ``cfg.rows`` rows with the smallest key hash; of these,
-    texts are kept while their words add up to ``cfg.words`` at most.  A share
-    ``cfg.calibration`` of it is held back: on it the score is shifted so that
-    ``cut`` is the best threshold over all rows, and thresholds by language
-    are set.
-    """
-    rows = labelled.where("label is not null").select("key", "text", F.col("label").cast("int").alias("label"), "lang")
-    rows = rows.withColumn("h", F.xxhash64(F.col("key").cast("string"), F.lit(cfg.seed)))
-    # keys first, so that texts of other rows never move; cfg.rows bounds what is broadcast
-    keys = rows.select("h").distinct().orderBy("h").limit(cfg.rows)
-    picked = rows.join(F.broadcast(keys), "h", "left_semi").collect()
-    picked = sorted(picked, key=lambda r: (r["h"], str(r["key"]), r["text"] or ""))[: cfg.rows]
-    texts, labels, langs, total = [], [], [], 0
-    for r in picked:
-        w = words_of(r["text"])
+
+def fit(texts: Iterable[tuple[str | None, int, str | None]], cfg: Config = Config(), cut: float = 0.3) -> Model:
+    """The calibrated model of (text, label, lang) in the given order; texts beyond ``cfg.words`` words in all are left out."""
+    vocab: dict[str, int] = {}
+    seqs, labels, langs, total = [], [], [], 0
+    for text, label, lang in texts:
+        w = words_of(text)
         if total + len(w) > cfg.words:
             continue
         total += len(w)
-        texts.append(w), labels.append(r["label"]), langs.append(r["lang"])
+        seqs.append(_numbers(w, vocab)), labels.append(label), langs.append(lang)
     y = np.array(labels, dtype=np.float64)
     if not len(y) or y.min() == y.max():
-        # one class only: the prior is all there is to learn
-        m = _fit([], np.array([0.0, 1.0]), Config(**{**cfg.__dict__, "epochs": 0}))
-        m.out[:] = 0
-        m.shift, m.thresholds = (4.0 if len(y) and y.max() == 1 else -4.0), {}
-        return m
+        return _prior(y, cfg)
+    rows = _rows(vocab, cfg)
+    del vocab
     n_cal = int(len(y) * cfg.calibration) if len(y) >= 50 else 0
-    m = _fit(texts[n_cal:], y[n_cal:], cfg)
+    m = _fit(seqs[n_cal:], rows, y[n_cal:], cfg)
     cal = slice(0, n_cal) if n_cal else slice(None)
-    raw, yc = m.raw(_features(m, texts[cal])), y[cal]
+    raw, yc = m.raw(_features(m, seqs[cal], rows)), y[cal]
     at = _best_cut(raw, yc)
     spread = float(np.std(raw)) or 1.0
     m.scale = min(4.0, 3.0 / spread)
@@ -261,7 +267,46 @@ def train(labelled: DataFrame, cfg: Config = Config(), cut: float = 0.3) -> Mode
     return m
 
 
-def _scorer(handle, text_at: int, key_at: int):
+def sample(labelled: DataFrame, cfg: Config) -> DataFrame:
+    """h, t, text, label and lang of the training rows: at most ``cfg.rows`` distinct ones and ``cfg.size`` bytes of text.
+
+    Rows come in the order of their key's hash.  A text above a sixteenth of
+    ``cfg.size`` is left out, so that one text cannot end the sample.
+    """
+    rows = labelled.where("label is not null").select(
+        F.xxhash64(F.col("key").cast("string"), F.lit(cfg.seed)).alias("h"), F.xxhash64("text").alias("t"),
+        F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), "text", F.col("label").cast("int").alias("label"), "lang")
+    order = ("h", "t", "label", "lang")
+    # hashes first, so that texts of other rows never move
+    short = rows.where(F.col("n") <= cfg.size // 16).select(*order, "n").distinct().orderBy(*order).limit(cfg.rows)
+    run = F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # cfg.rows rows at most
+    picked = short.withColumn("run", run).where(F.col("run") <= cfg.size).select(*order)
+    return rows.join(F.broadcast(picked), ["h", "t"], "left_semi").groupBy(*order).agg(F.min("text").alias("text"))
+
+
+def _trainer(cfg: Config, cut: float):
+    def run(batches):
+        texts = [(r["h"], r["t"], r["label"], r["lang"] or "", r) for b in batches for r in b.to_pylist()]
+        texts.sort(key=lambda x: x[:4])
+        m = fit([(r["text"], r["label"], r["lang"]) for *_, r in texts], cfg, cut)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(m)], pa.binary())], names=["model"])
+
+    return run
+
+
+def train(labelled: DataFrame, cfg: Config = Config(), cut: float = 0.3) -> Model:
+    """Fit on a bounded sample of ``labelled`` (key, text, label, lang) and calibrate.
+
+    One task of the cluster trains; the driver gets the model, whose size the
+    configuration fixes.  A share ``cfg.calibration`` of the sample is held
+    back: on it the score is shifted so that ``cut`` is the best threshold over
+    all rows, and thresholds by language are set.  Equal rows count once.
+    """
+    made = sample(labelled, cfg).repartition(1).mapInArrow(_trainer(cfg, cut), "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else _prior(np.zeros(0), cfg)
+
+
+def _scorer(handle, text_at: int, score_col: str):
     def run(batches):
         m = handle.value
         known: dict[str, int] = {}
@@ -271,7 +316,7 @@ def _scorer(handle, text_at: int, key_at: int):
             for lo in range(0, batch.num_rows, 128):
                 texts = [words_of(t) for t in batch.slice(lo, 128).column(text_at).to_pylist()]
                 fresh = [w for w in {w for t in texts for w in t} if w not in known]
-                if len(known) + len(fresh) > 250_000:
+                if len(known) + len(fresh) > 150_000:
                     known, table = {}, table[:0]
                     fresh = list({w for t in texts for w in t})
                 if fresh:
@@ -290,15 +335,18 @@ def _scorer(handle, text_at: int, key_at: int):
                 scores.append(m.score(m.pooled(table[flat], offsets)))
             s = np.concatenate(scores) if scores else np.zeros(0)
             columns = [batch.column(i) for i in range(batch.num_columns) if i != text_at]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(s, pa.float64())], names=[batch.schema.names[i] for i in range(batch.num_columns) if i != text_at] + ["score"])
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(s, pa.float64())], names=[batch.schema.names[i] for i in range(batch.num_columns) if i != text_at] + [score_col])
 
     return run
 
 
-def score(docs: DataFrame, model: Model, *, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` of ``docs`` and ``score``; whole texts, memory bounded by 128 of them."""
+def score(docs: DataFrame, model: Model, *, keep: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """Columns ``keep`` of ``docs`` and ``score_col``, which none of them may be called; whole texts, memory bounded by 128 of them."""
+    if score_col in keep:
+        raise ValueError(f"{score_col} is among the kept columns")
     spark = docs.sparkSession
     handle = spark.sparkContext.broadcast(model)  # its size is fixed by the configuration
-    src = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    schema = T.StructType([src.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())])
-    return src.mapInArrow(_scorer(handle, len(keep), 0), schema)
+    text_name, = fresh(keep, "_text")
+    src = docs.select(*keep, F.col(text_col).cast("string").alias(text_name))
+    schema = T.StructType([src.schema[c] for c in keep] + [T.StructField(score_col, T.DoubleType())])
+    return src.mapInArrow(_scorer(handle, len(keep), score_col), schema)
