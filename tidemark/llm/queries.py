@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, embedding_dedup, licenses, minhash, packing, secrets, sharding, substring, toxicity, url_filter
-from tidemark.llm.common import table
+from tidemark.llm.common import Scratch, table
 
 
 def tokenizer_path() -> str:
@@ -40,13 +40,15 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through a ledger of its own: every blob and rule is new to it, whatever other runs have scanned."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = secrets.ledger_scan(docs)
-    count = lambda kind: F.size(F.filter("_spans", lambda x: x["kind"] == kind)).cast("long")
-    spans = secrets.span_text(F.col("_spans"))
+    found = secrets.ledger_scan(docs, ledger=Scratch(spark, "secrets").path("ledger"))
+    spans = F.col(found.columns[-1])
+    count = lambda kind: F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+    text = secrets.span_text(spans)
     return found.select(
         "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
-        F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"),
+        F.sha2(text, 256).alias("base_sha256"), text.alias("spans"),
     )
 
 
@@ -61,7 +63,7 @@ def labelled(spark: SparkSession, sf_dir: str, rows: int = toxicity.Config().row
     """
     labels = table(spark, sf_dir, "labels").where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").alias("label"))
     labels = labels.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
-    picked = labels.orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(toxicity.Config().seed)), "doc_id").limit(rows)
+    picked = labels.distinct().orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(toxicity.Config().seed)), "doc_id", "label").limit(rows)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return docs.join(F.broadcast(picked), "doc_id").withColumnRenamed("doc_id", "key")
 
