@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tidemark.llm import decontam, embedding_dedup, licenses, minhash, packing, queries, secrets, sharding, substring, toxicity, url_filter
 
@@ -136,6 +137,27 @@ def test_minhash_table(spark):
     assert Counter(map(tuple, queries.op9_minhash_dedup(spark, SF).collect())) == brute_minhash(rows)
 
 
+def test_minhash_null_ids(spark):
+    """A null id stands for a group only where no row has an id."""
+    rows = [(5, "a b c d e f g"), (None, "a b c d e f g"), (None, "h i j k l m n"), (None, "h i j k l m n"), (None, None), (7, ""), (9, "one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(map(tuple, minhash.dedup(df).collect()))
+    assert got == Counter({(5, 3, 5, True): 1, (None, 3, 5, False): 1, (None, 3, None, True): 2, (None, 0, None, True): 1, (7, 0, 7, True): 1, (9, 1, 9, True): 1})
+
+
+def test_keep_one(spark):
+    """Rows with equal or null ids and different texts are no copies."""
+    line = "a b c d e f g"
+    rows = [(3, "one text of its own here", "x"), (3, "another text that stands alone", "y"), (None, "third text with no id at all", None), (None, "fourth text with no id either", None),
+            (5, line, "p"), (None, line, "q"), (6, line, "r"), (5, line, "p"), (5, line, "o"), (None, "only copies without an id live", "z"), (None, "only copies without an id live", "z"),
+            (None, None, "n"), (None, None, "n"), (8, " \n", None), (8, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, cls string").repartition(4)
+    got = Counter((r["doc_id"], r["text"]) for r in minhash.keep_one(df).collect())
+    want = Counter({(i, t): 1 for i, t, _ in rows if not (i in (None, 6) and t == line)})
+    want[None, None] = 2
+    assert got == want and minhash.keep_one(df).columns == df.columns and minhash.keep_one(df.limit(0)).isEmpty()
+
+
 # 4
 def test_embeddings(spark):
     rng = np.random.default_rng(5)
@@ -230,6 +252,40 @@ def test_secrets(spark, docs, tmp_path):
     assert ledger.groupBy("blob", "rule", "version").count().where("count > 1").isEmpty() and ledger.count() > before
 
 
+def test_ledger_scans_missing_pairs(spark, tmp_path):
+    """A new version of one rule runs that rule alone, and only unseen blobs are scanned with the others."""
+    at, df = str(tmp_path / "ledger"), spark.createDataFrame(list(enumerate(HARD)), "doc_id long, text string")
+    secrets.ledger_scan(df.where("doc_id < 6"), ledger=at)
+    old = {(bytes(r["blob"]), r["rule"], r["version"]) for r in spark.read.option("recursiveFileLookup", "true").parquet(at).collect()}
+    # a rule that would match now, under a version that the ledger knows: it must not run on old blobs
+    blind = (secrets.Rule("assign", "[a-z]{3,}", 1), secrets.Rule("access", "B{4,}", 4, version=2), secrets.HEX)
+    got = {r["doc_id"]: secrets_of(r["_spans"]) for r in secrets.ledger_scan(df, ledger=at, rules=blind).collect()}
+    new = [(bytes(r["blob"]), r["rule"], r["version"]) for r in spark.read.option("recursiveFileLookup", "true").parquet(at).collect()]
+    assert len(new) == len(set(new)) and old < set(new)
+    seen = {b for b, _, _ in old}
+    assert {(r, v) for b, r, v in set(new) - old if b in seen} == {("access", 2)}
+    assert all(got[k] == [s for s in brute_spans(HARD[k]).split(",") if s and not s.startswith("access")] for k in (0, 1, 2, 3, 5)) and "access:10:30" in got[4]
+    assert any(s.startswith("assign") for s in got[9])
+    # nothing is left to scan
+    secrets.ledger_scan(df, ledger=at, rules=blind)
+    assert spark.read.option("recursiveFileLookup", "true").parquet(at).count() == len(new)
+
+
+def secrets_of(spans):
+    return [f"{s['kind']}:{s['start']}:{s['end']}" for s in spans]
+
+
+def test_secrets_long_text_and_clashes(spark):
+    """Thousands of findings in one text, across the runs in which they are placed; columns named like the operator's own."""
+    text = "".join(f"é line {i} token={'ab' * 8}{i:06d}\n" for i in range(3000)) + "x" * 300_000
+    rows = [(1, text, 1, "s", 2, 3), (2, "token = " + "q" * 128, 1, None, 2, 3)] + [(k, "AKIA" + "Z" * 20 + ("\n" + "f" * 16) * (k - 100), 0, "", 0, 0) for k in (227, 228, 229)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _blob int, _spans string, _hit int, blob int")
+    found = secrets.ledger_scan(df)
+    assert found.columns == [*df.columns, "_blob_", "_spans_"]
+    got = {r["doc_id"]: ",".join(secrets_of(r["_spans_"])) for r in found.collect()}
+    assert got == {r[0]: brute_spans(r[1]) for r in rows}
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(HARD)], "doc_id long, text string")
     for r in secrets.ledger_scan(df).select("text", secrets.redact(F.coalesce("text", F.lit("")), F.col("_spans")).alias("out"), "_spans").collect():
@@ -289,13 +345,60 @@ def test_toxicity(spark):
     assert toxicity.train(spark.createDataFrame([], "key long, text string, label int, lang string")).thresholds == {}
 
 
+def plain_score(m, text):
+    """The score by its definition: embeddings summed, every filter at every position, the largest at least 0, a logistic unit."""
+    words, cfg, feats = toxicity.words_of(text), m.cfg, []
+    e = [m.emb[list(toxicity.word_rows(w, cfg))].sum(axis=0) for w in words]
+    for k, width in enumerate(cfg.widths):
+        for f in range(cfg.filters):
+            acts = [sum(e[i + j] @ m.conv[k][j][:, f] for j in range(width)) + m.bias[k][f] for i in range(len(words) - width + 1)]
+            feats.append(max([0, *acts]))
+    raw = float(np.array(feats) @ m.out + m.out_bias)
+    return 1 / (1 + math.exp(-min(60, max(-60, m.scale * raw + m.shift))))
+
+
+def test_toxicity_query_is_plain(spark):
+    """Every row's score, held_out and predicted against their definitions."""
+    m = toxicity.train(queries.labelled(spark, SF))
+    rows = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = queries.op7_toxicity(spark, SF).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(rows.keys())
+    for r in got:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and r["predicted"] == int(r["score"] >= 0.3)
+        assert abs(r["score"] - plain_score(m, rows[r["doc_id"]])) < 2e-3
+    assert queries.labelled(spark, SF).where(F.crc32(F.col("key").cast("string")) % 4 == 2).isEmpty()
+
+
+def test_toxicity_sample_is_bounded(spark):
+    """Long texts and an id repeated often leave rows and bytes within their bounds."""
+    cfg = toxicity.Config(rows=40, size=200_000, epochs=1)
+    long = spark.range(100).select(F.col("id").alias("key"), F.repeat(F.concat(F.lit("w"), "id", F.lit(" ")), 2000).alias("text"), (F.col("id") % 2).cast("int").alias("label"), F.lit("en").alias("lang"))
+    same = spark.range(5000).select(F.lit(7).cast("long").alias("key"), F.lit("again").alias("text"), F.lit(1).alias("label"), F.lit(None).cast("string").alias("lang"))
+    huge = spark.range(3).select(F.col("id").alias("key"), F.repeat(F.lit("x "), 100_000).alias("text"), F.lit(0).alias("label"), F.lit("en").alias("lang"))
+    got = toxicity.sample(long.unionByName(same).unionByName(huge), cfg).collect()
+    assert 0 < len(got) <= 40 and sum(len(r["text"]) for r in got) <= 200_000 and max(len(r["text"]) for r in got) <= 12_500
+    assert 0 <= toxicity.train(long.unionByName(same), cfg).emb.size == cfg.buckets * cfg.dim
+
+
+def test_toxicity_awkward(spark, none):
+    m = toxicity.train(spark.createDataFrame([(1, "a", 1, "en"), (2, "b", 0, None)], "key long, text string, label int, lang string"))
+    df = spark.createDataFrame([(1, None, "s", "t"), (1, None, "s", "t"), (None, "a b", None, None)], "doc_id long, text string, score string, _text string")
+    got = toxicity.score(df, m, keep=df.columns, score_col="p").collect()
+    assert len(got) == 3 and got[0]["score"] in ("s", None)
+    with pytest.raises(ValueError):
+        toxicity.score(df, m, keep=df.columns)
+    assert toxicity.score(none, m, keep=["doc_id"]).isEmpty()
+
+
 def test_pooling():
     """Pooled features equal the plain maximum over every position."""
     rng = np.random.default_rng(0)
     cfg = toxicity.Config(buckets=256, epochs=1)
-    m = toxicity._fit([["a", "b", "c"], ["d"]] * 4, np.array([0.0, 1.0] * 4), cfg)
+    m = toxicity.fit([("a b c", 0, None), ("d", 1, None)] * 4, cfg)
     texts = [[], ["a"], ["b", "a"], ["c", "d", "a", "zz"], [], [str(x) for x in rng.integers(0, 50, 40)]]
-    got = toxicity._features(m, texts)
+    vocab = {}
+    seqs = [toxicity._numbers(t, vocab) for t in texts]
+    got = toxicity._features(m, seqs, toxicity._rows(vocab, cfg))
     for r, t in enumerate(texts):
         e = [m.emb[list(toxicity.word_rows(w, cfg))].sum(axis=0) for w in t]
         for k, width in enumerate(cfg.widths):
@@ -336,8 +439,7 @@ def test_cascade_is_exact(spark):
 # 10
 def check_packing(rows, docs, capacity=4096):
     want, seen = {}, defaultdict(list)
-    tok = packing.WordTokenizer(queries.tokenizer_path(), 2)
-    plain = tok.tok
+    plain = Tokenizer.from_file(queries.tokenizer_path())
     ids = {}
     for d, t in docs:
         ids[d] = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
@@ -371,8 +473,9 @@ def check_packing(rows, docs, capacity=4096):
 
 
 def test_packing(spark, docs):
-    made = [(r[0], r[1]) for r in made_docs()] + [(900, "long words " * 9000)]
-    df = docs.unionByName(spark.createDataFrame([(900, "long words " * 9000)], "doc_id long, text string"), allowMissingColumns=True)
+    more = [(900, "long words " * 9000), (901, "a <|endoftext|> b"), (902, "x<|startoftext|>y\n<|endoftext|>")]
+    made = [(r[0], r[1]) for r in made_docs()] + more
+    df = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
     check_packing(packing.pack(df, tokenizer_path=queries.tokenizer_path()).collect(), made)
     check_packing(packing.pack(df, tokenizer_path=queries.tokenizer_path(), open_windows=2, fan_in=2).collect(), made)
 
@@ -383,10 +486,11 @@ def test_packing_table(spark):
 
 
 def test_tokenizer_memo():
-    tok = packing.WordTokenizer(queries.tokenizer_path(), 2, memo=50)
-    texts = ["It's  FINE\u00a0here\x1cand\x85there", "e\u0301 \u0301x ΟΔΟΣ ΟΣ. 12345's", "<|endoftext|> a", "", None, "\u2000\u3000 wide", "İstanbul ſ K"] + [r[1] for r in made_docs()]
+    tok, plain = packing.WordTokenizer(queries.tokenizer_path(), 2, memo=50), Tokenizer.from_file(queries.tokenizer_path())
+    special = ["<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|>y<|startoftext|>", "<|startoftext|>\n<|endoftext|>, <|endoftext|>.", "<|ENDOFTEXT|>", "<| endoftext |>", "é<|endoftext|>é."]
+    texts = [*special, "It's  FINE\u00a0here\x1cand\x85there", "e\u0301 \u0301x ΟΔΟΣ ΟΣ. 12345's", "<|endoftext|> a", "", None, "\u2000\u3000 wide", "İstanbul ſ K"] + [r[1] for r in made_docs()]
     for t, got in zip(texts, tok.encode(texts)):
-        assert got == np.array([*tok.tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
+        assert got == np.array([*plain.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
 
 
 # 2
