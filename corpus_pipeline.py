@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, minhash, packing, queries, secrets, toxicity
-from tidemark.llm.common import Scratch, table
+from tidemark.llm.common import Scratch, fresh, scope, table
 
 #: SQL cannot express these stages; tests compare them with brute force.
 ORACLE_SQL = None
@@ -20,11 +20,10 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the threshold of their language go."""
     model = toxicity.train(queries.labelled(spark, sf_dir))
-    names = docs.columns
     limits = [F.when(F.col("lang") == lang, F.lit(t)) for lang, t in sorted((model.thresholds or {}).items())]
-    limit = F.coalesce(*limits, F.lit(0.3))
-    scored = toxicity.score(docs.withColumn("_t", F.col("text")), model, keep=names, text_col="_t")
-    return scored.where(F.col("score") < limit).select(*names)
+    name, = fresh(docs.columns, "score")
+    scored = toxicity.score(docs, model, keep=docs.columns, score_col=name)
+    return scored.where(F.col(name) < F.coalesce(*limits, F.lit(0.3))).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +40,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; n_chars follows the text. No document goes."""
     found = secrets.ledger_scan(docs)
-    text = secrets.redact(F.col("text"), F.col("_spans"))
-    return found.withColumn("text", text).withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    spans = F.col(found.columns[-1])
+    found = found.withColumn("text", secrets.redact(F.col("text"), spans))
+    return found.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,9 +60,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``, each written as Parquet and read again."""
+    """Apply the stages to ``documents``, each written as Parquet and read again; what a stage leaves in the shared folder goes with it."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        with scope():
+            docs = scratch.write(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
