@@ -7,12 +7,15 @@ re-read and never a recomputation of the whole plan.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 from contextlib import contextmanager
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +99,23 @@ def fresh(taken: list[str], *names: str) -> list[str]:
     return out
 
 
+def tidy(run):
+    """``run``, a function over batches, and then: what its task has freed goes from the worker process back to the system.
+
+    Worker processes outlive their tasks, and allocators keep what was freed.
+    """
+
+    def whole(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return whole
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import wordmath as wm
-from tidemark.llm.common import Scratch
+from tidemark.llm.common import Scratch, tidy
 from tidemark.llm.components import components
 
 
@@ -276,7 +276,7 @@ class _Join:
         """(id, shingles) of the classes in ``wanted``."""
         reps = self.reps.join(wanted, "id").select("id", "r_id", "r_key")
         texts = reps.hint("shuffle_hash").join(self.docs, reps["r_id"].eqNullSafe(self.docs["doc_id"]) & (reps["r_key"] == self.docs["t_key"])).select("id", "text")
-        return self.scratch.write(texts.mapInArrow(_set_rows(self.cfg), "id long, shingles binary").dropDuplicates(["id"]), name)
+        return self.scratch.write(texts.mapInArrow(tidy(_set_rows(self.cfg)), "id long, shingles binary").dropDuplicates(["id"]), name)
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (class numbers a < b) whose full sets are similar enough."""
@@ -284,7 +284,7 @@ class _Join:
         sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "sets")
         a, b = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
         both = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y")
-        out = self.scratch.write(both.mapInArrow(_confirm(self.cfg), "a long, b long"), "links")
+        out = self.scratch.write(both.mapInArrow(tidy(_confirm(self.cfg)), "a long, b long"), "links")
         self.scratch.drop("sets")
         return out
 
@@ -301,7 +301,7 @@ def classes_and_links(docs: DataFrame, scratch: Scratch, cfg: Config) -> tuple[D
             for out in inner([batch.select(["doc_id", "text"])]):
                 yield pa.RecordBatch.from_arrays([*out.columns, batch.column("t_key")], names=[*out.schema.names, "t_key"])
 
-    signed = scratch.write(src.mapInArrow(sign, schema), "signed")
+    signed = scratch.write(src.mapInArrow(tidy(sign), schema), "signed")
     # one class per distinct set; the class number is given once and written down
     classes = (
         signed.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2")
@@ -313,13 +313,13 @@ def classes_and_links(docs: DataFrame, scratch: Scratch, cfg: Config) -> tuple[D
     join.reps = classes.select("id", "r_id", "r_key")
     sig = classes.select("id", "n_shingles", "sig")
     # buckets with two classes or more
-    key_rows = scratch.write(sig.select("id", "sig").mapInArrow(_key_rows(cfg, 1), "key long, slot int, id long"), "keys")
+    key_rows = scratch.write(sig.select("id", "sig").mapInArrow(tidy(_key_rows(cfg, 1)), "key long, slot int, id long"), "keys")
     shared = scratch.write(key_rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1"), "shared")
     crowded = scratch.write(key_rows.join(shared, "key"), "crowded")
     scratch.drop("keys")
     stars = crowded.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     a, b = sig.select(F.col("id").alias("a"), F.col("sig").alias("x"), F.col("n_shingles").alias("na")), sig.select(F.col("id").alias("b"), F.col("sig").alias("y"), F.col("n_shingles").alias("nb"))
-    near = stars.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= cfg.similarity * F.greatest("na", "nb")).mapInArrow(_near(cfg), "a long, b long")
+    near = stars.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= cfg.similarity * F.greatest("na", "nb")).mapInArrow(tidy(_near(cfg)), "a long, b long")
     links = join.links(near)
     labels = components(links, scratch, "stars")
     marked = crowded.join(labels, crowded["id"] == labels["v"], "left").select("key", "slot", "id", F.coalesce("component", "id").alias("component"))
@@ -332,11 +332,11 @@ def classes_and_links(docs: DataFrame, scratch: Scratch, cfg: Config) -> tuple[D
     meets = F.transform(F.sequence(F.lit(0), count - 1), lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j"), F.when(o == mine, 3).when(o > mine, 1).otherwise(2).alias("side")))
     dealt = rows.select("key", "slot", "id", "component", "n_shingles", "sig", F.inline(meets))
     dealt = dealt.select(F.xxhash64("key", "i", "j").alias("bucket"), "slot", "id", "component", "n_shingles", "sig", "side")
-    part = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_take_part(cfg), "bucket long, slot int, id long, component long, side int")
+    part = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_take_part(cfg)), "bucket long, slot int, id long, component long, side int")
     part = scratch.write(part, "part")
     sets = join.sets(part.select("id").distinct(), "part-sets").join(sig, "id")
     full = part.join(sets, "id").select("bucket", "slot", "id", "component", "n_shingles", "sig", "side", "shingles")
-    found = scratch.write(full.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_judge(cfg), "a long, b long"), "forest")
+    found = scratch.write(full.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_judge(cfg)), "a long, b long"), "forest")
     scratch.drop("part-sets")
     links = links.unionByName(found)
     return signed.drop("sig").join(classes.select("n_shingles", "s1", "s2", "id"), ["n_shingles", "s1", "s2"], "left"), links

@@ -34,10 +34,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import wordmath as wm
-from tidemark.llm.common import WORD_GAP, Scratch
+from tidemark.llm.common import WORD_GAP, Scratch, tidy
 
-#: A place is a text's number over a word's position: 2**36 distinct texts of 2**27 words.
-POS_BITS = 27
 _GAPS = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
 
 
@@ -94,8 +92,8 @@ def _anchors(cfg: Config):
     return run
 
 
-def _windows(cfg: Config):
-    """(uid, text, anchors) to one row per window whose anchor is among the recurring ones."""
+def _windows(cfg: Config, bits: int):
+    """(uid, text, anchors) to one row per window whose anchor is among the recurring ones; a place is the uid over ``bits`` of the position."""
 
     def run(batches):
         for batch in batches:
@@ -109,7 +107,7 @@ def _windows(cfg: Config):
                     known = np.array(batch.column(2)[lo + r].as_py(), dtype=np.int64).view(np.uint64)
                     low = wm.sliding(g[a : b - cfg.gram + 1], cfg.span)
                     pos = np.flatnonzero(np.isin(low, known))
-                    out[0].append((uid[lo + r] << POS_BITS) | pos), out[1].append(w[a + pos].view(np.int64))
+                    out[0].append((uid[lo + r] << bits) | pos), out[1].append(w[a + pos].view(np.int64))
                 if sum(map(len, out[1])) > 50_000:
                     yield _window_batch(out)
                     out = [[], []]
@@ -211,10 +209,15 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cf
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("t_key", F.unhex(F.md5("text")))
     # 1. anchors; a text whose anchors show up in another text, or twice in itself, is looked at
-    marked = src.select("doc_id", "text", "t_key").mapInArrow(_anchors(cfg), "doc_id long, t_key binary, n_words long, anchors array<long>, counts array<int>")
+    marked = src.select("doc_id", "text", "t_key").mapInArrow(tidy(_anchors(cfg)), "doc_id long, t_key binary, n_words long, anchors array<long>, counts array<int>")
     marked = scratch.write(marked, "marked")
     classes = marked.groupBy("t_key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.max("n_words").alias("words"))
     classes = _numbered(scratch.write(classes.select(F.monotonically_increasing_id().alias("uid"), "*"), "classes"))
+    # a place takes 63 bits: as many for positions as the longest text needs, the rest for texts
+    most = classes.agg(F.max("words").alias("words"), F.max("uid").alias("uid")).first()
+    bits = int(most["words"] or 0).bit_length()
+    if bits + int(most["uid"] or 0).bit_length() > 63:
+        raise ValueError("more distinct texts than 63 bits can number beside the longest one's words")
     picks = marked.select("doc_id", "t_key", F.inline(F.arrays_zip(F.col("anchors").alias("h"), F.col("counts").alias("c")))).toDF("doc_id", "t_key", "h", "c")
     text_mark = F.xxhash64("t_key")
     seen = picks.groupBy("h").agg(F.min(text_mark).alias("k0"), F.max(text_mark).alias("k1"), F.max("c").alias("c"))
@@ -228,13 +231,13 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cf
         "texts",
     )
     # 2. recurring windows and passages
-    windows = scratch.write(texts.mapInArrow(_windows(cfg), "place long, w long"), "windows")
+    windows = scratch.write(texts.mapInArrow(tidy(_windows(cfg, bits)), "place long, w long"), "windows")
     counted = windows.groupBy("w").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1")
     counted = scratch.write(counted.select("w", "first"), "counted")
-    mask = F.lit((1 << POS_BITS) - 1)
+    mask = F.lit((1 << bits) - 1)
     hits = windows.join(counted, "w").select(
-        F.shiftright("place", POS_BITS).alias("uid"), F.col("place").bitwiseAND(mask).alias("pos"),
-        F.shiftright("first", POS_BITS).alias("src"), F.col("first").bitwiseAND(mask).alias("at"))
+        F.shiftright("place", bits).alias("uid"), F.col("place").bitwiseAND(mask).alias("pos"),
+        F.shiftright("first", bits).alias("src"), F.col("first").bitwiseAND(mask).alias("at"))
     # consecutive places that continue in one source are one passage
     line = Window.partitionBy("uid", "src", F.col("at") - F.col("pos")).orderBy("pos")
     chained = hits.withColumn("run", F.col("pos") - F.row_number().over(line)).groupBy("uid", "src", (F.col("at") - F.col("pos")).alias("shift"), "run").agg(F.min("at").alias("start"), F.count("*").alias("n"))
@@ -242,10 +245,10 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cf
     scratch.drop("windows", "counted")
     wants = passages.select("src", "start", "words").distinct().groupBy("src").agg(F.collect_list(F.struct("start", "words")).alias("wants"))
     bare = texts.select("uid", "text")
-    phrases = scratch.write(bare.join(wants, bare["uid"] == wants["src"]).select("uid", "text", "wants").mapInArrow(_phrases, "src long, start int, words int, phrase string").dropDuplicates(["src", "start", "words"]), "phrases")
+    phrases = scratch.write(bare.join(wants, bare["uid"] == wants["src"]).select("uid", "text", "wants").mapInArrow(tidy(_phrases), "src long, start int, words int, phrase string").dropDuplicates(["src", "start", "words"]), "phrases")
     # 3. automata over the documents and their phrases
     mine = passages.join(phrases, ["src", "start", "words"]).groupBy("uid").agg(F.collect_set("phrase").alias("phrases"))
-    found = scratch.write(bare.join(mine, "uid").select("uid", "text", "phrases").mapInArrow(_remove(cfg), "uid long, n_removed long, kept_sha256 string").dropDuplicates(["uid"]), "found")
+    found = scratch.write(bare.join(mine, "uid").select("uid", "text", "phrases").mapInArrow(tidy(_remove(cfg)), "uid long, n_removed long, kept_sha256 string").dropDuplicates(["uid"]), "found")
     judged = classes.join(found, "uid", "left")
     whole = (F.col("copies") > 1) & (F.col("words") >= cfg.window)
     judged = judged.select(

@@ -29,9 +29,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import fresh
+from tidemark.llm.common import fresh, tidy
 
 _STRIP = string.punctuation + "«»„“”‘’¿¡…–—"
+#: Words that are worked on at once.
+WORDS = 50_000
 _GAPS = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
 
 
@@ -125,6 +127,19 @@ def _rows(vocab: dict[str, int], cfg: Config) -> np.ndarray:
     return np.array([word_rows(w, cfg) for w in vocab], dtype=np.int64).reshape(-1, 1 + len(cfg.prefixes))
 
 
+def _steps(order: np.ndarray, seqs: list[np.ndarray], cfg: Config):
+    """``order`` in steps of ``cfg.batch`` texts, or fewer where these have over ``WORDS`` words."""
+    held, size = [], 0
+    for i in order:
+        if held and (len(held) == cfg.batch or size + len(seqs[i]) > WORDS):
+            yield np.array(held)
+            held, size = [], 0
+        held.append(i)
+        size += len(seqs[i])
+    if held:
+        yield np.array(held)
+
+
 def _fit(seqs: list[np.ndarray], rows: np.ndarray, labels: np.ndarray, cfg: Config) -> Model:
     """The model of texts given as word numbers; ``rows`` has each word's embedding rows."""
     rng = np.random.default_rng(cfg.seed)
@@ -145,8 +160,7 @@ def _fit(seqs: list[np.ndarray], rows: np.ndarray, labels: np.ndarray, cfg: Conf
     # a small sample gets more passes, up to the same number of steps
     for _ in range(cfg.epochs and max(cfg.epochs, min(60, cfg.steps * cfg.batch // max(1, len(order))))):
         rng.shuffle(order)
-        for lo in range(0, len(order), cfg.batch):
-            ids = order[lo : lo + cfg.batch]
+        for ids in _steps(order, seqs, cfg):
             flat = np.concatenate([seqs[i] for i in ids] or [np.zeros(0, np.int32)])
             lengths = np.array([len(seqs[i]) for i in ids])
             offsets = np.concatenate([[0], np.cumsum(lengths)])
@@ -270,15 +284,15 @@ def fit(texts: Iterable[tuple[str | None, int, str | None]], cfg: Config = Confi
 def sample(labelled: DataFrame, cfg: Config) -> DataFrame:
     """h, t, text, label and lang of the training rows: at most ``cfg.rows`` distinct ones and ``cfg.size`` bytes of text.
 
-    Rows come in the order of their key's hash.  A text above a sixteenth of
-    ``cfg.size`` is left out, so that one text cannot end the sample.
+    Rows come in the order of their key's hash.  A text above a 256th of
+    ``cfg.size`` is left out, so that one text cannot fill the sample or a step.
     """
     rows = labelled.where("label is not null").select(
         F.xxhash64(F.col("key").cast("string"), F.lit(cfg.seed)).alias("h"), F.xxhash64("text").alias("t"),
         F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), "text", F.col("label").cast("int").alias("label"), "lang")
     order = ("h", "t", "label", "lang")
     # hashes first, so that texts of other rows never move
-    short = rows.where(F.col("n") <= cfg.size // 16).select(*order, "n").distinct().orderBy(*order).limit(cfg.rows)
+    short = rows.where(F.col("n") <= cfg.size // 256).select(*order, "n").distinct().orderBy(*order).limit(cfg.rows)
     run = F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # cfg.rows rows at most
     picked = short.withColumn("run", run).where(F.col("run") <= cfg.size).select(*order)
     return rows.join(F.broadcast(picked), ["h", "t"], "left_semi").groupBy(*order).agg(F.min("text").alias("text"))
@@ -302,10 +316,24 @@ def train(labelled: DataFrame, cfg: Config = Config(), cut: float = 0.3) -> Mode
     back: on it the score is shifted so that ``cut`` is the best threshold over
     all rows, and thresholds by language are set.  Equal rows count once.
     """
-    made = sample(labelled, cfg).repartition(1).mapInArrow(_trainer(cfg, cut), "model binary").collect()
+    made = sample(labelled, cfg).repartition(1).mapInArrow(tidy(_trainer(cfg, cut)), "model binary").collect()
     return pickle.loads(made[0]["model"]) if made else _prior(np.zeros(0), cfg)
 
 
+def _pieces(lengths: list[int], lap: int) -> list[list[tuple[int, int, int]]]:
+    """(text, from, to) in groups of at most ``WORDS`` words; a longer text is cut, its pieces lapping by ``lap`` words."""
+    out, held, size = [], [], 0
+    for i, n in enumerate(lengths):
+        for a in range(0, max(n, 1), WORDS):
+            b = min(n, a + WORDS + lap)
+            if held and size + b - a > WORDS + lap:
+                out.append(held)
+                held, size = [], 0
+            held.append((i, a, b))
+            size += b - a
+    return out + ([held] if held else [])
+
+
 def _scorer(handle, text_at: int, score_col: str):
     def run(batches):
         m = handle.value
@@ -315,24 +343,29 @@ def _scorer(handle, text_at: int, score_col: str):
             scores = []
             for lo in range(0, batch.num_rows, 128):
                 texts = [words_of(t) for t in batch.slice(lo, 128).column(text_at).to_pylist()]
-                fresh = [w for w in {w for t in texts for w in t} if w not in known]
-                if len(known) + len(fresh) > 150_000:
-                    known, table = {}, table[:0]
-                    fresh = list({w for t in texts for w in t})
-                if fresh:
-                    rows = np.array([word_rows(w, m.cfg) for w in fresh], dtype=np.int64)
-                    base = len(known)
-                    for i, w in enumerate(fresh):
-                        known[w] = base + i
-                    need = base + len(fresh)
-                    if need > len(table):
-                        grown = np.zeros((max(need, 2 * len(table)), table.shape[1]), dtype=np.float32)
-                        grown[:base] = table[:base]
-                        table = grown
-                    table[base:need] = m.shares(rows)
-                offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-                flat = np.fromiter((known[w] for t in texts for w in t), dtype=np.int64, count=int(offsets[-1]))
-                scores.append(m.score(m.pooled(table[flat], offsets)))
+                pooled = np.zeros((len(texts), m.cfg.filters * len(m.cfg.widths)), np.float32)
+                for group in _pieces([len(t) for t in texts], max(m.cfg.widths) - 1):
+                    parts = [texts[i][a:b] for i, a, b in group]
+                    fresh = [w for w in {w for t in parts for w in t} if w not in known]
+                    if len(known) + len(fresh) > 150_000:
+                        known, table = {}, table[:0]
+                        fresh = list({w for t in parts for w in t})
+                    if fresh:
+                        rows = np.array([word_rows(w, m.cfg) for w in fresh], dtype=np.int64)
+                        base = len(known)
+                        for i, w in enumerate(fresh):
+                            known[w] = base + i
+                        need = base + len(fresh)
+                        if need > len(table):
+                            grown = np.zeros((max(need, 2 * len(table)), table.shape[1]), dtype=np.float32)
+                            grown[:base] = table[:base]
+                            table = grown
+                        table[base:need] = m.shares(rows)
+                    offsets = np.concatenate([[0], np.cumsum([len(t) for t in parts])])
+                    flat = np.fromiter((known[w] for t in parts for w in t), dtype=np.int64, count=int(offsets[-1]))
+                    # pooling is a maximum of at least 0, so pieces of a text are put together by one
+                    np.maximum.at(pooled, [i for i, _, _ in group], m.pooled(table[flat], offsets))
+                scores.append(m.score(pooled))
             s = np.concatenate(scores) if scores else np.zeros(0)
             columns = [batch.column(i) for i in range(batch.num_columns) if i != text_at]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(s, pa.float64())], names=[batch.schema.names[i] for i in range(batch.num_columns) if i != text_at] + [score_col])
@@ -341,7 +374,7 @@ def _scorer(handle, text_at: int, score_col: str):
 
 
 def score(docs: DataFrame, model: Model, *, keep: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """Columns ``keep`` of ``docs`` and ``score_col``, which none of them may be called; whole texts, memory bounded by 128 of them."""
+    """Columns ``keep`` of ``docs`` and ``score_col``, which none of them may be called; whole texts, in pieces of bounded size."""
     if score_col in keep:
         raise ValueError(f"{score_col} is among the kept columns")
     spark = docs.sparkSession
@@ -349,4 +382,4 @@ def score(docs: DataFrame, model: Model, *, keep: list[str], text_col: str = "te
     text_name, = fresh(keep, "_text")
     src = docs.select(*keep, F.col(text_col).cast("string").alias(text_name))
     schema = T.StructType([src.schema[c] for c in keep] + [T.StructField(score_col, T.DoubleType())])
-    return src.mapInArrow(_scorer(handle, len(keep), score_col), schema)
+    return src.mapInArrow(tidy(_scorer(handle, len(keep), score_col)), schema)
