@@ -1,19 +1,22 @@
 """Licence scans: sparse TF-IDF cosine to templates, then directory inheritance.
 
-Every line of every file is compared with one-sentence licence notices by
-TF-IDF cosine; weights come from the templates.  Header blocks and licence
-files are not compared as wholes, and there are no full licence texts.  A file without a notice of its own inherits from the nearest
+Every line, sentence and block (lines without a blank one between them, so a
+header wrapped over many lines is one) of every file, and every licence file as
+a whole, is compared with notices, headings, headers and texts of licences by
+TF-IDF cosine.  Term frequencies count logarithmically; weights come from the
+templates.  A file without a notice of its own inherits from the nearest
 ancestor directory that holds a licence, found by joins on directory paths.
 Everything is DataFrame and SQL functions.
 
-Lines without any anchor term are not scored: by the Cauchy-Schwarz inequality
-they cannot reach the threshold (see ``anchors``); nor can lines with too much
+Pieces without any anchor term are not scored: by the Cauchy-Schwarz inequality
+they cannot reach the threshold (see ``anchors``); nor can pieces with too much
 else in them (see ``possible``).
 
 Edge cases: a null or empty text has no notice; a null path has no directory
 and inherits nothing; ties go to the first template, then the first line, then
-the smallest path; repeated rows are reported once each; an empty table gives
-an empty result; other columns are ignored.
+line before sentence before block before file, then the smallest path; repeated
+rows are reported once each; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,41 +28,24 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import license_texts
 from tidemark.llm.common import Scratch
 
-#: Fixed values: (licence, notice); wording of the public licences.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
-    ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
-    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("ISC", "Released under the ISC License."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ("CC0-1.0", "Dedicated to the public domain under the CC0 1.0 Universal license."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
-    ("proprietary", "All rights reserved."),
-)
+TEMPLATES = license_texts.TEMPLATES
+
 TOKEN = "[a-z0-9]+(?:\\.[0-9]+)*"
+#: A directory with more than one in so many of all rows is hot.
+HOT = 200
 #: File names that hold a licence for their directory.
 LICENSE_FILE = "(?i)^(licen[sc]e|copying|notice)(\\.[a-z]+)?$"
 
 
-def weights(templates=TEMPLATES) -> tuple[list[Counter], dict[str, float]]:
-    """Term counts of each template, and the inverse document frequency of each term."""
+def weights(templates=TEMPLATES) -> tuple[list[dict[str, float]], dict[str, float]]:
+    """Term weights of each template by frequency, and the inverse document frequency of each term."""
     counts = [Counter(re.findall(TOKEN, text.lower())) for _, text in templates]
     n = len(templates)
     df = Counter(t for c in counts for t in c)
+    counts = [{t: 1 + math.log(k) for t, k in c.items()} for c in counts]
     return counts, {t: math.log((1 + n) / (1 + k)) + 1 for t, k in df.items()}
 
 
@@ -73,12 +59,13 @@ def anchors(templates=TEMPLATES, threshold: float = 0.7) -> list[str]:
 
     Of each template heavy, long terms are taken until the rest of its vector
     is shorter than ``threshold`` times the whole: a line that shares only that
-    rest has a smaller cosine.
+    rest has a smaller cosine.  Only terms without a dot are taken, so that
+    words cut at anything but letters and digits are enough to find them.
     """
     counts, idf = weights(templates)
     out: set[str] = set()
     for c in counts:
-        heavy = sorted(c, key=lambda t: (-c[t] * idf[t] * len(t) ** 2, t))  # long terms are rarer in prose
+        heavy = sorted((t for t in c if "." not in t), key=lambda t: (-c[t] * idf[t] * len(t) ** 2, t))  # long terms are rarer in prose
         norm = sum((c[t] * idf[t]) ** 2 for t in c)
         rest = sum((c[t] * idf[t]) ** 2 for t in c if t not in out)
         for t in heavy:
@@ -87,6 +74,10 @@ def anchors(templates=TEMPLATES, threshold: float = 0.7) -> list[str]:
             if t not in out:
                 out.add(t)
                 rest -= (c[t] * idf[t]) ** 2
+        else:
+            # nothing but terms with dots is left: their first parts stand for them
+            if rest >= (threshold - 1e-6) ** 2 * norm:
+                out |= {t.split(".")[0] for t in c if "." in t}
     return sorted(out)
 
 
@@ -100,100 +91,146 @@ def template_rows(templates=TEMPLATES) -> list[tuple[int, str, str, float]]:
     return out
 
 
+def plain_words(text: Column) -> Column:
+    return F.split(F.lower(text), "[^a-z0-9]+")
+
+
 def possible(tokens: Column, templates, threshold: float) -> Column:
-    """Whether a line could reach the threshold for any template.
+    """Whether a piece could reach the threshold for any template.
 
-    A cosine of t needs at least t squared of the line's squared weight in
+    A cosine of t needs at least t squared of the piece's squared weight in
     template terms; every other distinct term weighs ``unknown_idf`` or more.
     """
     _, idf = weights(templates)
     terms = F.create_map(*[x for t, w in sorted(idf.items()) for x in (F.lit(t), F.lit(w))])
     known = F.filter(tokens, lambda t: t.isin(sorted(idf)))
     own = F.array_distinct(known)
-    weight = lambda t: F.pow(F.element_at(terms, t) * F.size(F.filter(known, lambda x: x == t)), 2)
+    weight = lambda t: F.pow(F.element_at(terms, t) * (1 + F.log(F.size(F.filter(known, lambda x: x == t)).cast("double"))), F.lit(2))
     shared = F.aggregate(own, F.lit(0.0), lambda acc, t: acc + weight(t))
     others = F.size(F.array_distinct(tokens)) - F.size(own)
     return shared >= (threshold**2 - 1e-6) * (shared + others * unknown_idf(templates) ** 2)
 
 
-def _best(pieces: DataFrame, keys: list[str], templates, threshold: float) -> DataFrame:
-    """The best template of each piece (``keys`` name it; ``text`` holds it), at the threshold or above."""
+def _best(pieces: DataFrame, key: str, templates, threshold: float) -> DataFrame:
+    """The best template of each piece (``key`` names it; ``text`` holds it), at the threshold or above."""
     spark = pieces.sparkSession
     counts, idf = weights(templates)
     vector = spark.createDataFrame(template_rows(templates), "template int, licence string, term string, tw double")
     known = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
     terms = (
-        pieces.select(*keys, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))).alias("term"))
-        .groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+        pieces.select(key, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))).alias("term"))
+        .groupBy(key, "term").agg(F.count("*").alias("tf"))
         .join(F.broadcast(known), "term", "left")  # both sides of fixed size: the templates' terms
-        .withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unknown_idf(templates))))
+        .withColumn("w", (1 + F.log(F.col("tf").cast("double"))) * F.coalesce("idf", F.lit(unknown_idf(templates))))
     )
-    norms = terms.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = terms.join(F.broadcast(vector), "term").groupBy(*keys, "template", "licence").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    scored = dots.join(norms, keys).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold)
+    norms = terms.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = terms.join(F.broadcast(vector), "term").groupBy(key, "template", "licence").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    scored = dots.join(norms, key).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold)
     best = F.max_by(F.struct("licence", "score"), F.struct("score", (-F.col("template")).alias("t")))
-    return scored.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.licence", "b.score")
+    return scored.groupBy(key).agg(best.alias("b")).select(key, "b.licence", "b.score")
+
+
+#: What separates blocks: a line of blanks and comment marks only.
+BLANK = "\n[ \t\r#/*;%-]*(?=\n)"
+#: Kinds of pieces in the order in which ties are settled.
+UNITS = ("line", "sentence", "block", "file")
+
+
+def pieces_of(text: Column, is_file: Column) -> Column:
+    """array<struct<unit, line_no, text>>: every line, sentence and block of a text, and the whole of a licence file.
+
+    Sentences and blocks that are no more than a line of their own are left out.
+    """
+    lines = F.split(text, "\n", -1)
+    piece = lambda unit, at, x: F.struct(F.lit(UNITS.index(unit)).alias("unit"), at.cast("int").alias("line_no"), x.alias("text"))
+    by_line = F.transform(lines, lambda x, i: piece("line", i, x))
+    sentences = lambda x, i: F.transform(F.split(x, "(?<=[.!?])[ \t]+", -1), lambda y: piece("sentence", i, y))
+    by_sentence = F.flatten(F.transform(lines, lambda x, i: F.when(x.rlike("[.!?][ \t]+[^ \t]"), sentences(x, i)).otherwise(F.array().cast(PIECES))))
+    # block k starts after the line breaks of what stands before it
+    parts = F.split(text, BLANK, -1)
+    gaps = F.regexp_extract_all(text, F.lit(BLANK), F.lit(0))
+    breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(PIECES).alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        lead = F.when(x["p"].startswith("\n"), 1).otherwise(0)
+        out = F.when(breaks(x["p"]) > lead, F.concat(acc["out"], F.array(piece("block", acc["at"] + lead, x["p"])))).otherwise(acc["out"])
+        return F.struct((acc["at"] + breaks(x["p"]) + F.coalesce(breaks(x["g"]), F.lit(0))).cast("int").alias("at"), out.alias("out"))
+
+    by_block = F.aggregate(F.arrays_zip(parts.alias("p"), gaps.alias("g")), start, step, lambda acc: acc["out"])
+    whole = F.when(is_file, F.array(piece("file", F.lit(0), text))).otherwise(F.array().cast(PIECES))
+    return F.concat(by_line, by_sentence, by_block, whole)
+
+
+PIECES = "array<struct<unit:int,line_no:int,text:string>>"
 
 
 def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", threshold: float = 0.7,
          license_file: Column | None = None, templates=TEMPLATES) -> DataFrame:
-    """Licence of every file: id, path, own_license, own_score, line_no, license, origin, from_path.
+    """Licence of every file: id, path, own_license, own_score, line_no, unit, license, origin, from_path.
 
-    ``origin`` is header, file (the file is a licence file), inherited or none.
+    ``origin`` is header, file (the file is a licence file), inherited or none;
+    ``unit`` says which kind of piece decided, from ``line_no`` on.
     ``license_file``: which rows are licence files (default: by file name).
     """
     spark = files.sparkSession
     scratch = Scratch(spark, "licenses")
-    word = "(?i)(?<![a-z0-9])(?:" + "|".join(t.replace(".", "\\.") for t in anchors(templates, threshold)) + ")(?![a-z0-9])"
-    base = F.regexp_extract(F.coalesce("path", F.lit("")), "[^/]*$", 0)
+    words = F.array(*[F.lit(t) for t in anchors(templates, threshold)])
+    base = F.regexp_extract(F.coalesce(F.col(path_col).cast("string"), F.lit("")), "[^/]*$", 0)
+    is_file = F.coalesce(license_file if license_file is not None else base.rlike(LICENSE_FILE), F.lit(False))
     rows = files.select(
-        F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-        *([license_file.alias("is_file")] if license_file is not None else []),
-    )
-    if license_file is None:
-        rows = rows.withColumn("is_file", base.rlike(LICENSE_FILE))
+        F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), is_file.alias("is_file"))
     rows = rows.withColumn("dir", F.regexp_replace("path", "/[^/]*$", ""))
-    # one line per distinct wording is scored: notices repeat across a corpus
+    # one piece per distinct wording is scored: notices repeat across a corpus
     noted = scratch.write(
-        rows.where(F.col("text").rlike(word)).select("id", "path", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
-        .where(F.col("text").rlike(word))
-        .where(possible(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)), templates, threshold)),
-        "lines",
+        rows.where(F.arrays_overlap(plain_words(F.col("text")), words)).select("id", "path", F.inline(pieces_of(F.col("text"), F.col("is_file"))))
+        .where(F.arrays_overlap(plain_words(F.col("text")), words))
+        .where(possible(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)), templates, threshold))
+        .withColumn("piece", F.unhex(F.md5("text"))),
+        "pieces",
     )
-    lines = _best(noted.select("text").distinct().withColumn("line", F.col("text")), ["line"], templates, threshold)
+    wordings = noted.select("piece", "text").dropDuplicates(["piece"])
+    scored = _best(wordings, "piece", templates, threshold)
     own = (
-        noted.join(lines, noted["text"] == lines["line"])
+        noted.drop("text").join(scored, "piece")
         .groupBy("id", "path")
-        .agg(F.max_by(F.struct("licence", "score", "line_no"), F.struct("score", (-F.col("line_no")).alias("l"))).alias("b"))
-        .select(F.col("id").alias("o_id"), F.col("path").alias("o_path"), F.col("b.licence").alias("own_license"), F.col("b.score").alias("own_score"), "b.line_no")
+        .agg(F.max_by(F.struct("licence", "score", "line_no", "unit"), F.struct("score", (-F.col("line_no")).alias("l"), (-F.col("unit")).alias("u"))).alias("b"))
+        .select(F.col("id").alias("o_id"), F.col("path").alias("o_path"), F.col("b.licence").alias("own_license"), F.col("b.score").alias("own_score"), "b.line_no", "b.unit")
     )
     meta = rows.select("id", "path", "dir", "is_file")
     judged = scratch.write(
         meta.join(own, meta["id"].eqNullSafe(own["o_id"]) & meta["path"].eqNullSafe(own["o_path"]), "left").drop("o_id", "o_path"), "judged"
     )
-    holders = (
-        judged.where("is_file and own_license is not null and dir is not null")
-        .groupBy("dir").agg(F.max("own_score").alias("top"))
-    )
     # ties on the score: the smallest path
     holders = (
-        judged.where("is_file and own_license is not null").join(holders, "dir").where(F.col("own_score") == F.col("top"))
-        .groupBy("dir").agg(F.min(F.struct("path", "own_license")).alias("b"))
+        judged.where("is_file and own_license is not null and dir is not null")
+        .groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("s"), "path", "own_license")).alias("b"))
         .select(F.col("dir").alias("h_dir"), F.col("b.path").alias("from_path"), F.col("b.own_license").alias("h_license"))
     )
     # distinct directories only: a hot directory is one row here
-    dirs = judged.where("own_license is null and dir is not null").select("dir").distinct()
+    dirs = scratch.write(judged.where("dir is not null").groupBy("dir").agg(F.count_if(F.col("own_license").isNull()).alias("heirs"), F.count("*").alias("n")), "dirs")
     parts = F.split("dir", "/", -1)
-    above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("up"))
-    nearest = (
+    above = dirs.where("heirs > 0").select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("up"))
+    nearest = scratch.write(
         above.join(holders, above["up"] == holders["h_dir"])
         .groupBy("dir").agg(F.max_by(F.struct("h_license", "from_path"), F.length("up")).alias("b"))
-        .select("dir", F.col("b.h_license").alias("in_license"), F.col("b.from_path").alias("from_path"))
+        .select("dir", F.col("b.h_license").alias("in_license"), F.col("b.from_path").alias("from_path")), "nearest"
     )
+    # a directory with over a HOT-th of all rows: fewer than HOT of them exist, so what they inherit is broadcast
+    total = dirs.agg(F.sum("n")).first()[0] or 0
+    hot = nearest.join(dirs.where(F.col("n") > total / HOT).select("dir"), "dir", "left_semi")
+    crowded = F.broadcast(hot.select(F.col("dir").alias("c_dir"), F.col("in_license").alias("c_license"), F.col("from_path").alias("c_from")))
+    first = judged.join(crowded, judged["dir"] == F.col("c_dir"), "left")
+    # rows that a hot directory has served ask for no other: they carry keys of their own and spread
+    asks = F.when(F.col("own_license").isNull() & F.col("c_dir").isNull() & F.col("dir").isNotNull(), F.col("dir"))
+    asked = first.withColumn("asks", F.coalesce(asks, F.concat(F.lit("\n"), F.xxhash64("id", "path").cast("string"))))
+    given = nearest.join(F.broadcast(hot.select("dir")), "dir", "left_anti").withColumnRenamed("dir", "n_dir")
     own_origin = F.when(F.col("is_file"), "file").otherwise("header")
-    return judged.join(nearest, "dir", "left").select(
+    heir, licence = F.col("own_license").isNull(), F.coalesce("c_license", "in_license")
+    return asked.join(given, asked["asks"] == given["n_dir"], "left").select(
         F.col("id").alias(id_col), F.col("path").alias(path_col), "own_license", "own_score", F.col("line_no").cast("long").alias("line_no"),
-        F.when(F.col("own_license").isNotNull(), F.col("own_license")).otherwise(F.col("in_license")).alias("license"),
-        F.when(F.col("own_license").isNotNull(), own_origin).when(F.col("in_license").isNotNull(), "inherited").otherwise("none").alias("origin"),
-        F.when(F.col("own_license").isNull(), F.col("from_path")).alias("from_path"),
+        F.coalesce(*[F.when(F.col("unit") == k, name) for k, name in enumerate(UNITS)]).alias("unit"),
+        F.when(heir, licence).otherwise(F.col("own_license")).alias("license"),
+        F.when(~heir, own_origin).when(licence.isNotNull(), "inherited").otherwise("none").alias("origin"),
+        F.when(heir, F.coalesce("c_from", "from_path")).alias("from_path"),
     )
