@@ -45,45 +45,45 @@ def path_of(url: Column) -> Column:
 
 @dataclass(frozen=True)
 class Level:
-    """One Bloom filter: ``bits`` positions in 64-bit words, ``hashes`` probes per key."""
+    """One Bloom filter: ``bits`` positions in one binary value, ``hashes`` probes per key."""
 
     seed: int
     bits: int
     hashes: int
-    words: tuple[int, ...]
+    data: bytes
 
     def holds(self, key: Column) -> Column:
-        words, out = F.array(*[F.lit(w).cast("long") for w in self.words]), None
+        whole, out = F.lit(self.data), None
         for at in _positions(key, self.seed, self.bits, self.hashes):
-            word = F.get(words, F.shiftright(at, 6).cast("int"))
-            bit = word.bitwiseAND(_one_at(at)) != 0
+            # one byte of the value, as a number; its bits count from the lowest
+            byte = F.ascii(F.decode(F.substring(whole, (F.shiftright(at, 3) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
+            bit = byte.bitwiseAND(_one_at(at, 8).cast("int")) != 0
             out = bit if out is None else out & bit
         return out
 
 
-def _one_at(at: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+def _one_at(at: Column, width: int) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(width)).cast("int"))
 
 
 def _positions(key: Column, seed: int, bits: int, hashes: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(64 * seed + i)), F.lit(bits)) for i in range(hashes)]
 
 
-def _bloom(keys: DataFrame, seed: int, n: int, rate: float, max_bits: int) -> Level:
-    """A Bloom filter of ``keys`` (column ``key``), or-ed word by word in the cluster.
+def bits_for(n: int, rate: float) -> int:
+    return max(64, 64 * math.ceil(-n * math.log(rate) / math.log(2) ** 2 / 64))
 
-    The driver gets only the words; ``max_bits`` bounds them.
-    """
-    bits = max(64, 64 * math.ceil(-n * math.log(rate) / math.log(2) ** 2 / 64))
-    if bits > max_bits:
-        raise ValueError(f"a level needs {bits} bits, over max_bits={max_bits}: list the keys in several cascades split by a hash of the key")
+
+def _bloom(keys: DataFrame, seed: int, n: int, rate: float) -> Level:
+    """A Bloom filter of ``keys`` (column ``key``), or-ed word by word in the cluster; the driver gets only the filled words."""
+    bits = bits_for(n, rate)
     hashes = max(1, round(bits / n * math.log(2)))
     at = keys.select(F.explode(F.array(*_positions(F.col("key"), seed, bits, hashes))).alias("at"))
-    words = at.groupBy(F.shiftright("at", 6).cast("int").alias("w")).agg(F.bit_or(_one_at(F.col("at"))).alias("v")).collect()
-    filled = [0] * (bits // 64)
-    for row in words:
-        filled[row["w"]] = row["v"]
-    return Level(seed, bits, hashes, tuple(filled))
+    words = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(_one_at(F.col("at"), 64)).alias("v"))
+    data = bytearray(bits // 8)
+    for row in words.toLocalIterator():
+        data[8 * row["w"] : 8 * row["w"] + 8] = row["v"].to_bytes(8, "little", signed=True)
+    return Level(seed, bits, hashes, bytes(data))
 
 
 @dataclass(frozen=True)
@@ -98,11 +98,17 @@ class Cascade:
         return out
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame, *, rate: float = 0.02, max_bits: int = 1 << 22, max_levels: int = 64) -> Cascade:
+def first_rate(listed: int, other: int, rate: float) -> float:
+    """The share of unlisted keys that level 1 may let through: so few that level 2 is no larger than the list."""
+    return min(rate, math.sqrt(0.5) * listed / max(1, other))
+
+
+def build_cascade(universe: DataFrame, listed: DataFrame, *, rate: float = 0.02, max_bits: int = 1 << 28, max_levels: int = 64) -> Cascade | None:
     """Both inputs have one string column ``key``; ``universe`` holds every key that will be looked up.
 
-    ``max_bits`` proves the size of what each task carries (512 KiB a level).
-    Levels shrink by ``rate`` each, so a handful ends the cascade.
+    ``max_bits`` proves the size of what each task carries for a level (32 MiB,
+    some 5 to 30 million listed keys); None if a level needs more.  Levels shrink
+    by ``rate`` each, so a handful ends the cascade.
     """
     spark = universe.sparkSession
     scratch = Scratch(spark, "cascade")
@@ -118,7 +124,10 @@ def build_cascade(universe: DataFrame, listed: DataFrame, *, rate: float = 0.02,
             break
         if len(levels) == max_levels:
             raise ValueError("the cascade does not end; lower rate")
-        level = _bloom(inside, len(levels) + 1, n, rate if not levels else 0.5 * rate, max_bits)
+        share = 0.5 * rate if levels else first_rate(n, other.count(), rate)
+        if bits_for(n, share) > max_bits:
+            return None
+        level = _bloom(inside, len(levels) + 1, n, share)
         levels.append(level)
         wrong = scratch.write(outside.where(level.holds(F.col("key"))), f"wrong{len(levels)}")
         inside, outside = wrong, inside
@@ -138,26 +147,38 @@ def rule_keys(host: Column, path: Column, lengths: list[int]) -> Column:
     return F.array_sort(F.array_distinct(keys), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
 
 
+def _rule_rows(spark, rules, default: str):
+    """The rules as a table (key, verdict): of equal keys the first verdict in order counts."""
+    rows = rules if isinstance(rules, DataFrame) else spark.createDataFrame([(v, h, p) for v, h, p in rules] or [], "verdict string, host string, path string")
+    keyed = rows.where("verdict is not null").select(F.concat(F.coalesce("host", F.lit("")), F.coalesce("path", F.lit(""))).alias("key"), "verdict", F.length(F.coalesce("path", F.lit(""))).alias("n"))
+    return keyed.groupBy("key").agg(F.min("verdict").alias("verdict"), F.collect_set("n").alias("n"))
+
+
 def filter_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=RULES, default: str = "allow",
-                rate: float = 0.02) -> DataFrame:
+                rate: float = 0.02, max_bits: int = 1 << 28) -> DataFrame:
     """Judge every url: id, host, path, rule (longest that fits, else null) and verdict.
 
-    A rule fits its host and all subdomains if the url's path starts with the
-    rule's.  Unlisted urls get ``default``.  One cascade per verdict is built
-    over the corpus's distinct rule keys.  Of rules of equal length the first
-    in key order wins.
+    ``rules``: (verdict, host, path) tuples, or a DataFrame of these columns
+    for long lists.  A rule fits its host and all subdomains if the url's path
+    starts with the rule's.  Unlisted urls get ``default``.  One cascade per
+    verdict is built over the corpus's distinct rule keys; a list that needs
+    more than ``max_bits`` in a level is looked up by an equality join instead.
+    Of rules of equal length the first in key order wins, of equal rules the
+    first verdict in order.
     """
     spark = pages.sparkSession
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    if not rules:
+    table = Scratch(spark, "rules").write(_rule_rows(spark, rules, default), "rules")
+    told = table.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("n")))).alias("n"), F.array_sort(F.collect_set("verdict")).alias("v")).first()
+    lengths, verdicts = sorted(told["n"] or [], reverse=True), told["v"] or []
+    if not verdicts:
         return rows.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
-    lengths = sorted({len(p) for _, _, p in rules}, reverse=True)
     keys = rule_keys(F.col("host"), F.col("path"), lengths)
     universe = rows.select(F.explode(keys).alias("key"))
-    verdicts = sorted({v for v, _, _ in rules})
-    listed = {v: spark.createDataFrame([(h + p,) for w, h, p in rules if w == v], "key string") for v in verdicts}
-    cascades = {v: build_cascade(universe, listed[v], rate=rate) for v in verdicts}
+    cascades = {v: build_cascade(universe, table.where(F.col("verdict") == v).select("key"), rate=rate, max_bits=max_bits) for v in verdicts}
+    if None in cascades.values():
+        return _by_join(rows, keys, table, default)
 
     def verdict_of(key: Column) -> Column:
         out = F.lit(None).cast("string")
@@ -169,3 +190,12 @@ def filter_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "ur
     return rows.withColumn("_hit", F.get(hits, F.lit(0))).select(
         "page_id", "host", "path", F.col("_hit.rule").alias("rule"), F.coalesce(F.col("_hit.verdict"), F.lit(default)).alias("verdict")
     )
+
+
+def _by_join(rows: DataFrame, keys: Column, table: DataFrame, default: str) -> DataFrame:
+    """The same verdicts for lists beyond any cascade's bound: each distinct place is judged by joins on its keys."""
+    places = rows.select("host", "path").distinct()
+    asked = places.select("host", "path", F.posexplode(keys).alias("at", "key")).join(table.select("key", "verdict"), "key")
+    best = asked.groupBy("host", "path").agg(F.min(F.struct("at", "key", "verdict")).alias("b"))
+    return rows.join(best, ["host", "path"], "left").select(
+        "page_id", "host", "path", F.col("b.key").alias("rule"), F.coalesce(F.col("b.verdict"), F.lit(default)).alias("verdict"))
