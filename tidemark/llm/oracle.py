@@ -49,5 +49,30 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_
 """
 
 
+NEAR_COPIES = f"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM d),
+n AS (SELECT doc_id, len(g)::BIGINT AS n FROM s),
+x AS (SELECT doc_id, unnest(g) AS h FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 75 * (p.n + q.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS top FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.top = e.a),
+m AS (SELECT doc_id, min(top) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, n AS n_shingles, component_id, component_id = doc_id AS kept FROM n JOIN m USING (doc_id)
+"""
+
+VECTORS = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+g AS MATERIALIZED (SELECT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.9 ELSE false END),
+r AS (SELECT vec_id, vec_id AS top FROM v UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.top = l.a),
+m AS (SELECT vec_id, min(top) AS component_id FROM r GROUP BY vec_id),
+k AS (SELECT a AS vec_id, count(*)::BIGINT AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, component_id = vec_id AS kept FROM m LEFT JOIN k USING (vec_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_secret_scan": SECRETS, "op6_substring_dedup": SUBSTRINGS, "op8_url_filter": URLS}
+    return {"op4_embedding_dedup": VECTORS, "op5_secret_scan": SECRETS, "op6_substring_dedup": SUBSTRINGS, "op8_url_filter": URLS, "op9_minhash_dedup": NEAR_COPIES}
