@@ -68,7 +68,7 @@ def test_scalars(spark):
     assert one(T.phones, "98765") == [] and one(T.phones, "9999999999") == [] and one(T.phones, None) == []
     assert one(T.pincode, "302 004") == "302004" and one(T.normal, " St. Mary's & Co ") == "st marys and co" and one(T.strip_null_like, " N/A") == ""
     assert one(lambda c: T.guard_formula(c, "export"), "=1") == "'=1" and one(lambda c: T.guard_formula(c, "export"), "+1") == "+1" and one(T.guard_formula, "+1") == "'+1"
-    assert one(T.acronym, "Sawai Man Singh") == "sms" and one(T.natural_key, "a10") > one(T.natural_key, "a9")
+    assert one(T.acronym, "Sawai Man Singh") == "sms" and one(T.natural_key, "a10") > one(T.natural_key, "a9") and one(T.natural_key, "1" * 22) != one(T.natural_key, "1" * 21 + "2")
     bands = spark.createDataFrame([(99,), (90,), (75,), (55,), (10,)], "s int").select(R.band(F.col("s"))).collect()
     assert [r[0] for r in bands] == ["Very High", "High", "Possible Match", "Manual Review", "Probably Different"]
 

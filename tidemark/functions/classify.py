@@ -78,7 +78,7 @@ MEDICAL = (
     r"blood\s+bank|blood\s+bag|medical\s+refrigerator|vaccine\s+refrigerator"
 )
 
-#: A whole price: optional rupee mark, grouped or plain digits.
+# Fixed value: a whole price, with an optional rupee mark and grouped or plain digits.
 PRICE = r"(?i)^\s*(?:(?:₹|INR)\s*)?\+?((?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?)\s*(?:INR)?\s*$"
 
 # How a chat line starts and what a price in it looks like.

@@ -2,16 +2,37 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words that stand for a missing value.
 NULL_LIKE = ["", "-", "--", "na", "n/a", "n.a.", "nil", "none", "null", "nan", "not available", "not applicable", "unknown"]
 
 
+def _single_forms() -> tuple[str, str]:
+    """Characters that stand for one other under compatibility (full-width marks, odd spaces, raised digits), and those others."""
+    pairs = [(ch, unicodedata.normalize("NFKC", ch)) for lo, hi in ((0x00A0, 0x00C0), (0x2000, 0x2080), (0x3000, 0x3001), (0xFF01, 0xFF5F)) for ch in map(chr, range(lo, hi))]
+    pairs = [(a, b) for a, b in pairs if len(b) == 1 and a != b]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_WIDE, _PLAIN = _single_forms()
+
+
+@F.pandas_udf(StringType())
+def compose(texts: pd.Series) -> pd.Series:
+    """NFKC, in Arrow batches: for columns that may hold letters with separate marks, which no built-in composes."""
+    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
 def squeeze(c: Column) -> Column:
-    """Control characters and runs of white space (Unicode's too) become one space."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "(?U)[\\s\\p{Cntrl}]+", " "))
+    """Compatibility forms of single characters become plain, zero-width marks go, control characters and runs of white space become one space."""
+    plain = F.translate(F.regexp_replace(F.coalesce(c, F.lit("")), "[\u200B\u200C\u200D\u2060\uFEFF]", ""), _WIDE, _PLAIN)
+    return F.trim(F.regexp_replace(plain, "(?U)[\\s\\p{Cntrl}]+", " "))
 
 
 def strip_null_like(c: Column) -> Column:
@@ -113,9 +134,10 @@ def guard_formula(c: Column, style: str = "all") -> Column:
 
 
 def natural_key(c: Column) -> Column:
-    """Sort key in which digit runs order as numbers."""
+    """Sort key in which digit runs of any length order as numbers: each is its length, then its digits."""
     parts = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 20, "0")).otherwise(p)), "")
+    number = lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(number(p)).cast("string"), 9, "0"), number(p))).otherwise(p)), "")
 
 
 def passages(c: Column, step: int = 1000, size: int = 1200) -> Column:

@@ -111,12 +111,16 @@ NOT_NAMES = [
 ]
 
 
+#: Fixed value: a page number or a page of pages.
+PAGE_FOOTER = r"^(?:page\s*)?\d+(?:\s*(?:of|/)\s*\d+)?$"
+
+
 def name_problem(c: Column) -> Column:
     """Issue of a name, else null: missing_name, invalid_name (header, number, too short, no letter) or suspicious_name (over 160 characters)."""
     n = T.normal(c)
     return (
         F.when(n == "", "missing_name")
-        .when(n.isin(NOT_NAMES) | n.rlike(r"^(?:page\s*)?[0-9]+(?:\s*(?:of|/)\s*[0-9]+)?$") | n.rlike("^[0-9 ]+$") | (F.length(n) < 2), "invalid_name")
+        .when(n.isin(NOT_NAMES) | n.rlike(PAGE_FOOTER) | n.rlike("^[0-9 ]+$") | (F.length(n) < 2), "invalid_name")
         .when(F.length(T.squeeze(c)) > 160, "suspicious_name").when(~T.squeeze(c).rlike(r"\p{L}"), "invalid_name")
     )
 

@@ -83,17 +83,18 @@ def combine_documents(documents: DataFrame, identity: list[str], rank: Column, t
     return g.select(*identity, "_b.*", types, "copies")
 
 
-def numbered(rows: DataFrame, key: str, prefix: str, width: int = 6, head: int = 4) -> DataFrame:
-    """Distinct ``key`` values numbered in order as ``prefix`` and digits, without one task that sorts all.
+def numbered(rows: DataFrame, key: str, prefix: str, checkpoint, width: int = 6, start: int = 0) -> DataFrame:
+    """Distinct ``key`` values numbered in order from ``start`` + 1, as ``prefix`` and digits, without one task that sorts all.
 
-    Keys are numbered inside groups of their first characters; what lies before
-    a group is summed over the groups, of which there are few.
+    Rows are dealt to ranges of the key and written; what lies before a range
+    is summed over the ranges, of which there are as many as shuffle partitions.
     """
-    rows = rows.withColumn("_head", F.left(F.col(key), F.lit(head)))
-    before = rows.groupBy("_head").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    no = F.col("_before") + F.row_number().over(Window.partitionBy("_head").orderBy(key))
-    out = rows.join(before, "_head").withColumn("no", F.lpad(no.cast("string"), width, "0"))
-    return out.withColumn("entity_id", F.concat(F.lit(prefix), "no")).drop("_head", "_before")
+    dealt = checkpoint(rows.repartitionByRange(key).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = dealt.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    no = F.lit(start) + F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    out = dealt.join(F.broadcast(before), "_part").withColumn("_no", no.cast("string"))
+    out = out.withColumn("no", F.when(F.length("_no") < width, F.lpad("_no", width, "0")).otherwise(F.col("_no")))
+    return out.withColumn("entity_id", F.concat(F.lit(prefix), "no")).drop("_part", "_before", "_no")
 
 
 def severity_order(c: Column) -> Column:

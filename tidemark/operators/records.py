@@ -74,12 +74,35 @@ def price_changes(offers: DataFrame, item: list[str], at: list[str], price: str,
 
 
 def price_statistics(offers: DataFrame, item: list[str], vendor: str, price: str) -> DataFrame:
-    """Best, worst, mean and median price per item, and what the best saves."""
-    g = offers.groupBy(*item).agg(
-        F.min(price).alias("min_price"), F.max(price).alias("max_price"), F.round(F.avg(price), 4).alias("avg_price"),
-        F.round(F.median(price), 7).alias("median_price"), F.count_distinct(vendor).alias("vendors"), F.min_by(vendor, F.struct(price, vendor)).alias("best_vendor"),
+    """Best, worst, mean and median price per item, the best vendor, and what the best saves against the worst and the mean.
+
+    Offers are first summed up by (item, price) and by (item, vendor), so a hot
+    item shrinks on the map side; the median is read off running counts of its
+    distinct prices.
+    """
+    by_price = offers.where(F.col(price).isNotNull()).groupBy(*item, price).agg(F.count("*").alias("_n"), F.min(vendor).alias("_v"))
+    w = Window.partitionBy(*item).orderBy(price)
+    run = by_price.withColumn("_to", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(Window.partitionBy(*item)))
+    # 0-based places (n - 1) / 2 and n / 2 of the ordered offers
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    at = lambda place: (F.col("_to") - F.col("_n") <= place) & (place < F.col("_to"))
+    g = run.groupBy(*item).agg(
+        F.min(price).alias("min_price"), F.max(price).alias("max_price"), F.round(F.sum(F.col(price) * F.col("_n")) / F.sum("_n"), 4).alias("avg_price"),
+        F.round((F.max(F.when(at(low), F.col(price))) + F.max(F.when(at(high), F.col(price)))) / 2, 7).alias("median_price"),
+        F.min_by("_v", price).alias("best_vendor"),
     )
-    return g.withColumn("saving", F.col("max_price") - F.col("min_price"))
+    vendors = offers.where(F.col(price).isNotNull()).groupBy(*item, vendor).agg(F.lit(1).alias("_one")).groupBy(*item).agg(F.count(vendor).alias("vendors"))
+    k, v = g.alias("g"), vendors.alias("v")
+    same = [F.col(f"g.{c}").eqNullSafe(F.col(f"v.{c}")) for c in item]
+    return k.join(v, same).select("g.*", "v.vendors").withColumn("saving", F.col("max_price") - F.col("min_price")).withColumn("saving_on_mean", F.round(F.col("avg_price") - F.col("min_price"), 4))
+
+
+def offer_blocks(offers: DataFrame, item: str, vendor: str, price: str, category: str, order: str) -> DataFrame:
+    """One row per item: best and highest price, its vendors' sorted names, how many offers, and the category of the cheapest offer (of equals the first by ``order``)."""
+    good = offers.where(F.col(price) > 0)
+    return good.groupBy(item).agg(
+        F.min(price).alias("best_price"), F.max(price).alias("max_price"), F.count("*").alias("vendor_count"),
+        F.min_by(category, F.struct(price, order)).alias("category"), F.array_sort(F.collect_set(vendor)).alias("vendors"))
 
 
 def search(rows: DataFrame, columns: list[str], query: str, least_share: float = 0.5) -> DataFrame:
@@ -90,16 +113,51 @@ def search(rows: DataFrame, columns: list[str], query: str, least_share: float =
     return rows.withColumn("hits", hits).where(F.col("hits") >= max(1, -(-int(len(words) * least_share * 1000) // 1000)))
 
 
+def _without(rows: DataFrame, other: DataFrame, key: list[str]) -> DataFrame:
+    """Rows whose key ``other`` does not have; null keys are equal."""
+    r, o = rows.alias("r"), other.select(*key).alias("o")
+    return r.join(o, [F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}")) for k in key], "left_anti")
+
+
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of ``new``, and those of ``old`` whose key it does not have."""
-    return new.unionByName(old.join(new.select(*key), key, "left_anti"))
+    """Insert or replace: rows of ``new``, and those of ``old`` whose key it does not have."""
+    return new.unionByName(_without(old, new, key))
+
+
+def insert_new(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """On conflict do nothing: ``old``, and those rows of ``new`` whose key it does not have, one of each key."""
+    return old.unionByName(_without(new.dropDuplicates(key), old, key))
+
+
+def update_on_conflict(old: DataFrame, new: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """On conflict update: rows of both keep ``old`` but for ``columns``, which ``new`` gives; rows of ``new`` alone are added."""
+    fresh = new.dropDuplicates(key)
+    n = fresh.select(*[F.col(k).alias(f"_k_{k}") for k in key], *[F.col(c).alias(f"_n_{c}") for c in columns], F.lit(True).alias("_hit"))
+    joined = old.join(n, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in key], "left")
+    kept = joined.select(*[F.when(F.col("_hit"), F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in old.columns])
+    return kept.unionByName(_without(fresh, old, key).select(*old.columns))
+
+
+def replace_scope(old: DataFrame, new: DataFrame, scope: list[str]) -> DataFrame:
+    """Delete and insert: every row of ``old`` in a scope that ``new`` has goes, all of ``new`` comes."""
+    return new.unionByName(_without(old, new.select(*scope).distinct(), scope))
+
+
+def update_from(rows: DataFrame, source: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """Update from a join: empty ``columns`` of rows take the value that ``source`` (one row per key) has; others stay."""
+    s = source.dropDuplicates(key).select(*[F.col(k).alias(f"_k_{k}") for k in key], *[F.col(c).alias(f"_s_{c}") for c in columns])
+    joined = rows.join(s, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in key], "left")
+    empty = lambda c: F.col(c).isNull() | (F.col(c).cast("string") == "")
+    return joined.select(*[F.when(empty(c), F.coalesce(f"_s_{c}", c)).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in rows.columns])
 
 
-def name_similarity(a: Column, b: Column) -> Column:
-    """100 equal, 82 acronym, else the better of plain and word-sorted ratio, at most 99."""
-    x, y = T.normal(a), T.normal(b)
-    short = ((T.acronym(a) == F.regexp_replace(y, " ", "")) & (T.acronym(a) != "")) | ((T.acronym(b) == F.regexp_replace(x, " ", "")) & (T.acronym(b) != ""))
-    return F.when(x == y, 100.0).when(short, 82.0).otherwise(F.least(F.lit(99.0), F.greatest(T.ratio(x, y), T.token_sort_ratio(a, b))))
+def not_in(rows: DataFrame, column: str, others: DataFrame, other: str) -> DataFrame:
+    """SQL's NOT IN: rows whose value is none of ``others``; no row at all if ``others`` holds a null, and none with a null value unless ``others`` is empty."""
+    o = others.select(F.col(other).alias("_o"))
+    seen = o.agg(F.count("*").alias("n"), F.count_if(F.col("_o").isNull()).alias("nulls"))
+    kept = rows.join(o.where("_o is not null").distinct(), F.col(column) == F.col("_o"), "left_anti")
+    # one row of two counts
+    return kept.join(F.broadcast(seen), (F.col("n") == 0) | ((F.col("nulls") == 0) & F.col(column).isNotNull())).select(*rows.columns)
 
 
 def band(score: Column) -> Column:

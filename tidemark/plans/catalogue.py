@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.functions.names import Words
+from tidemark.operators import linkage as L
 from tidemark.operators import offers as O
 from tidemark.operators import records as R
+from tidemark.scratch import checkpointer
 
 FLAGSHIP = "price_comparison"
 _Q: dict = {}
@@ -31,22 +34,25 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
 _OFFERS = "SELECT p_name, p_brand, l_suppkey, l_extendedprice / l_quantity AS price, l_shipdate, l_orderkey, l_linenumber, l_partkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 0"
 
 
+def _line_offers(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "lineitem").where("l_quantity > 0").select("l_partkey", "l_suppkey", (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), "l_shipdate", "l_orderkey", "l_linenumber")
+
+
 def _offers(spark: SparkSession, d: str) -> DataFrame:
-    line = _read(spark, d, "lineitem").where("l_quantity > 0").select("l_partkey", "l_suppkey", (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), "l_shipdate", "l_orderkey", "l_linenumber")
-    return line.join(_read(spark, d, "part").select("p_partkey", "p_name", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    return _line_offers(spark, d).join(_read(spark, d, "part").select("p_partkey", "p_name", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
 
 
 @_query(f"""SELECT p_name, p_brand, min(price) AS min_price, max(price) AS max_price, round(median(price), 7) AS median_price, count(DISTINCT l_suppkey) AS vendors,
  arg_min(l_suppkey, (price, l_suppkey)) AS best_vendor, max(price) - min(price) AS saving FROM ({_OFFERS}) GROUP BY ALL""")
 def price_comparison(spark, d):
     g = R.price_statistics(_offers(spark, d), ["p_name", "p_brand"], "l_suppkey", "price")
-    return g.drop("avg_price")
+    return g.drop("avg_price", "saving_on_mean")
 
 
 @_query(f"""SELECT l_partkey, l_orderkey, l_linenumber, old_price, price AS new_price FROM (
- SELECT *, lag(price) OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, price) AS old_price FROM ({_OFFERS})) WHERE old_price <> price""")
+ SELECT *, lag(price) OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, price) AS old_price FROM (SELECT *, l_extendedprice / l_quantity AS price FROM lineitem WHERE l_quantity > 0)) WHERE old_price <> price""")
 def price_history(spark, d):
-    out = R.price_changes(_offers(spark, d), ["l_partkey"], ["l_shipdate", "l_orderkey", "l_linenumber", "price"], "price", F.year("l_shipdate") * 12 + F.month("l_shipdate"))
+    out = R.price_changes(_line_offers(spark, d).drop("l_suppkey"), ["l_partkey"], ["l_shipdate", "l_orderkey", "l_linenumber", "price"], "price", F.year("l_shipdate") * 12 + F.month("l_shipdate"))
     return out.select("l_partkey", "l_orderkey", "l_linenumber", "old_price", "new_price")
 
 
@@ -85,9 +91,23 @@ def group_counts(spark, d):
     return _read(spark, d, "part").groupBy("p_type", "p_brand").agg(F.count("*").alias("n"), F.count_distinct("p_name").alias("names"), F.count_if(F.col("p_size") > 25).alias("large"), F.max("p_retailprice").alias("top_price"))
 
 
-@_query("SELECT s.* FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_orderkey < 60)")
-def unmatched_vendors(spark, d):
-    return _read(spark, d, "supplier").join(_read(spark, d, "lineitem").where("l_orderkey < 60").select(F.col("l_suppkey").alias("s_suppkey")), "s_suppkey", "left_anti")
+@_query("SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50)")
+def unmatched_products(spark, d):
+    """Products that were never sold fifty at once; the whole of both tables."""
+    large = _read(spark, d, "lineitem").where("l_quantity >= 50")
+    return R.not_in(_read(spark, d, "part").select("p_partkey", "p_name"), "p_partkey", large, "l_partkey")
+
+
+@_query("""SELECT x.id FROM (SELECT 1 AS id, 5 AS v UNION ALL SELECT 2, NULL UNION ALL SELECT 3, 6) x WHERE v NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey = 5)
+ UNION ALL SELECT x.id + 10 FROM (SELECT 1 AS id, 5 AS v UNION ALL SELECT 2, NULL UNION ALL SELECT 3, 6) x WHERE v NOT IN (SELECT CASE WHEN s_nationkey = 5 THEN NULL ELSE 5 END FROM supplier)
+ UNION ALL SELECT x.id + 20 FROM (SELECT 1 AS id, 5 AS v UNION ALL SELECT 2, NULL UNION ALL SELECT 3, 6) x WHERE v NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey < 0)""")
+def not_in_nulls(spark, d):
+    """NOT IN against a list without nulls, with one, and an empty one."""
+    x = spark.createDataFrame([(1, 5), (2, None), (3, 6)], "id int, v long")
+    s = _read(spark, d, "supplier")
+    parts = [s.where("s_nationkey = 5").select("s_nationkey"), s.select(F.when(F.col("s_nationkey") != 5, 5).alias("s_nationkey")), s.where("s_nationkey < 0").select("s_nationkey")]
+    out = [R.not_in(x, "v", p, "s_nationkey").select((F.col("id") + 10 * k).alias("id")) for k, p in enumerate(parts)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @_query("""SELECT c_custkey, c_name, n_name, r_name, coalesce(n, 0) AS orders, round(coalesce(v, 0), 2) AS value FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey
@@ -102,7 +122,7 @@ def master_export(spark, d):
  SELECT p_name, count(*) AS records, row_number() OVER (ORDER BY p_name) AS rank FROM part GROUP BY p_name)""")
 def entity_numbers(spark, d):
     names = _read(spark, d, "part").groupBy("p_name").agg(F.count("*").alias("records"))
-    return O.numbered(names, "p_name", "ENT-").select("no", "entity_id", "p_name", "records")
+    return O.numbered(names, "p_name", "ENT-", checkpointer(spark, "numbers")).select("no", "entity_id", "p_name", "records")
 
 
 @_query("""SELECT doc_id, passage_no, passage FROM (SELECT doc_id, s // 1000 AS passage_no, substr(text, s::BIGINT + 1, 1200) AS passage
@@ -137,14 +157,30 @@ def quality_issues(spark, d):
     return s.unionByName(c).distinct()
 
 
-@_query(None)
+_LCS = """list_reduce(list_concat([list_transform(range(length(b) + 1), lambda x: 0::BIGINT)], list_transform(range(1, length(a) + 1), lambda i: [i::BIGINT])),
+ lambda p, q: list_reduce(list_concat([[0::BIGINT]], list_transform(range(1, length(b) + 1), lambda j: [CASE WHEN substr(a, q[1], 1) = substr(b, j::BIGINT, 1) THEN p[j] + 1 ELSE p[j + 1] END])), lambda s, t: list_append(s, greatest(s[len(s)], t[1]))))[length(b) + 1]"""
+
+
+def _ratio_sql(a: str, b: str) -> str:
+    return f"(CASE WHEN {a} = {b} THEN 100.0::DOUBLE ELSE 200.0::DOUBLE * {_LCS.replace('length(a)', f'length({a})').replace('length(b)', f'length({b})').replace('substr(a,', f'substr({a},').replace('substr(b,', f'substr({b},')} / (length({a}) + length({b})) END)"
+
+
+_SORTED = "array_to_string(list_sort(string_split({}, ' ')), ' ')"
+_PACKED = "replace({}, ' ', '')"
+
+
+@_query(f"""WITH n AS (SELECT DISTINCT p_name FROM part), w AS (SELECT p_name, unnest(string_split(p_name, ' ')) AS w FROM n),
+ p AS (SELECT DISTINCT x.p_name AS a, y.p_name AS b FROM w x JOIN w y USING (w) WHERE x.p_name < y.p_name),
+ s AS (SELECT a, b, {_SORTED.format('a')} AS sa, {_SORTED.format('b')} AS sb, {_PACKED.format('a')} AS pa, {_PACKED.format('b')} AS pb FROM p),
+ r AS (SELECT a, b, round(least(CASE WHEN list_max(list_transform(string_split(a || ' ' || b, ' '), lambda x: length(x))) <= 4 THEN 70.0::DOUBLE ELSE 99.0::DOUBLE END, greatest({_ratio_sql('sa', 'sb')}, {_ratio_sql('pa', 'pb')})), 1) AS score FROM s)
+ SELECT a, b, score, CASE WHEN score >= 95 THEN 'Very High' WHEN score >= 85 THEN 'High' WHEN score >= 70 THEN 'Possible Match' WHEN score >= 50 THEN 'Manual Review' ELSE 'Probably Different' END AS band FROM r WHERE score >= 50""")
 def name_links(spark, d):
-    """Distinct part names by similarity, scored in expressions; small by construction (names are a dimension)."""
+    """Distinct part names that share a word, by similarity; names are a dimension."""
     names = _read(spark, d, "part").select("p_name").distinct()
-    words = names.select("p_name", F.explode(T.tokens(F.col("p_name"))).alias("word"))
+    words = names.select("p_name", F.explode(F.array_distinct(T.tokens(F.col("p_name")))).alias("word"))
     pairs = words.alias("a").join(words.alias("b"), "word").where("a.p_name < b.p_name").select(F.col("a.p_name").alias("a"), F.col("b.p_name").alias("b")).distinct()
-    score = F.round(R.name_similarity(F.col("a"), F.col("b")), 1)
-    return pairs.withColumn("score", score).withColumn("band", R.band(F.col("score"))).where("score >= 50")
+    plain = Words(generic=(), distinguishing=(), titles=(), contextual={}, places=())
+    return pairs.withColumn("score", F.round(L.similarity(F.col("a"), F.col("b"), plain), 1)).withColumn("band", R.band(F.col("score"))).where("score >= 50")
 
 
 def _load() -> None:

@@ -11,7 +11,7 @@ from tidemark.functions import validate as V
 from tidemark.operators import linkage as L
 from tidemark.operators import offers as O
 from tidemark.operators import retrieval as S
-from tidemark.plans.catalogue import _query, _read
+from tidemark.plans.catalogue import _SORTED, _query, _ratio_sql, _read
 from tidemark.scratch import checkpointer
 
 _SPACE = r"[\s\p{Cc}\p{Z}\x{85}]+"
@@ -226,14 +226,16 @@ def nearest_names(spark, d):
 @_query("""SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: (x::DOUBLE - 0.1::DOUBLE) * (x::DOUBLE - 0.1::DOUBLE))), 6) AS distance FROM embeddings ORDER BY list_sum(list_transform(embedding, lambda x: (x::DOUBLE - 0.1::DOUBLE) * (x::DOUBLE - 0.1::DOUBLE))), vec_id LIMIT 10""")
 def nearest_vectors(spark, d):
     e = _read(spark, d, "embeddings")
-    size = e.select(F.size("embedding")).first()[0]
+    size = e.agg(F.max(F.size("embedding"))).first()[0] or 0
     return S.nearest_vectors(e, "vec_id", "embedding", [0.1] * size).withColumn("distance", F.round("distance", 6))
 
 
-@_query(None)
+@_query(f"""WITH n AS (SELECT p_name AS n, min(p_partkey) AS id FROM part GROUP BY 1), p AS (SELECT x.id AS l, y.id AS r, x.n AS a, y.n AS b, {_SORTED.format('x.n')} AS sa, {_SORTED.format('y.n')} AS sb
+  FROM n x JOIN n y ON substr(x.n, 1, 1) = substr(y.n, 1, 1) AND x.id < y.id),
+ s AS (SELECT l, r, greatest({_ratio_sql('a', 'b')}, {_ratio_sql('sa', 'sb')}) AS score FROM p) SELECT * FROM s WHERE score >= 60""")
 def close_names(spark, d):
-    """Distinct part names of one initial that are 80 alike; tested against a plain comparison."""
-    return L.close_names(_read(spark, d, "part").select("p_partkey", "p_name"), "p_partkey", "p_name", F.left("p_name", F.lit(1)), least=80.0)
+    """Distinct part names of one initial that are 60 alike."""
+    return L.close_names(_read(spark, d, "part").select("p_partkey", "p_name"), "p_partkey", "p_name", F.left("p_name", F.lit(1)), least=60.0)
 
 
 @_query(None)
