@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: Words that stand for a missing value.
-NULL_LIKE = ["", "-", "--", "na", "n/a", "n.a.", "nil", "none", "null", "nan", "not available", "not applicable", "unknown"]
+NULL_LIKE = [
+    "", "n/a", "na", "n.a", "n.a.", "nil", "none", "null", "nan", "-", "--", "---", ".", "..", "not available", "not applicable",
+    "not provided", "not given", "unknown", "?", "??", "no", "#n/a", "#ref!", "#value!", "<na>",
+]
 
 
 def _single_forms() -> tuple[str, str]:
@@ -104,6 +107,53 @@ def emails(c: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda e: ~e.contains("..")))
 
 
+# Numbers that nobody has.
+PLACEHOLDER_PHONES = ["1234567890", "0123456789", "9876543210", "0987654321"]
+# Mailbox names that only fill a field.
+PLACEHOLDER_LOCALS = ["na", "none", "null", "noemail", "nomail", "no", "test", "abc", "xyz", "xxx", "email", "mail", "nil"]
+
+
+def phone_parts(c: Column) -> Column:
+    """array<struct<raw, number, kind>> of the numbers in a text: ``valid`` (national ten digits), ``placeholder`` or ``invalid``.
+
+    Numbers part at commas, slashes and the like, at "and" and "or", and, where
+    there are too many digits for one, before a mobile number after a space.  Labels in front go; a number that a
+    spreadsheet wrote as 9414012345.0 or 9.414012345E9 is read as written there.
+    Valid are mobiles (6 to 9 first) and ten digits of area code and number
+    after a leading zero or the country's code.
+    """
+    several = lambda p: F.when(F.length(F.regexp_replace(p, "[^0-9]", "")) > 13, F.split(p, r"\s{2,}|\s(?=[6-9][0-9]{9}(?![0-9]))")).otherwise(F.array(p))
+    parts = F.flatten(F.transform(F.split(strip_null_like_lines(c), r"(?i)[,;/|\n]+|\s+(?:and|or)\s+"), several))
+    parts = F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
+
+    def read(p: Column) -> Column:
+        whole = F.when(p.rlike(r"^[0-9]+\.0+$"), F.regexp_replace(p, r"\.0+$", "")).when(
+            p.rlike(r"^[0-9](?:\.[0-9]+)?[eE]\+?[0-9]+$"), p.try_cast("decimal(30,0)").cast("string")).otherwise(F.regexp_replace(p, r"^[A-Za-z][A-Za-z .:\-()/]*?(?=[+(]?[0-9])", ""))
+        digits = F.regexp_replace(whole, "[^0-9]", "")
+        tail = F.when(F.length(digits) >= 10, F.right(digits, F.lit(10))).otherwise(digits)
+        short = F.regexp_replace(digits, "^(?:0+|0*91(?=[0-9]{10}$))", "")
+        mobile, landline = short.rlike("^[6-9][0-9]{9}$"), short.rlike("^[1-5][0-9]{9}$") & digits.rlike("^(?:0|91)")
+        kind = F.when(digits == "", "invalid").when(tail.rlike("^([0-9])\\1*$") | tail.isin(PLACEHOLDER_PHONES), "placeholder").when(mobile | landline, "valid").otherwise("invalid")
+        return F.struct(F.trim(whole).alias("raw"), F.when(kind == "valid", short).otherwise(digits).alias("number"), kind.alias("kind"))
+
+    return F.transform(parts, read)
+
+
+def strip_null_like_lines(c: Column) -> Column:
+    """``strip_null_like`` that leaves white space inside alone."""
+    x = F.trim(F.coalesce(c, F.lit("")))
+    return F.when(F.lower(squeeze(c)).isin(NULL_LIKE), "").otherwise(x)
+
+
+def email_parts(c: Column) -> Column:
+    """array<struct<raw, address, valid>> of what looks like an address; a text without any is one invalid part."""
+    x = strip_null_like(c)
+    found = F.transform(F.regexp_extract_all(x, F.lit(r"[^\s,;<>()\[\]\"'|]+@[^\s,;<>()\[\]\"'|]+"), F.lit(0)), lambda t: F.regexp_replace(t, "^[.:-]+|[.:-]+$", ""))
+    parts = F.when((F.size(found) == 0) & (x != ""), F.array(x)).otherwise(found)
+    good = r"^[A-Za-z0-9](?:[A-Za-z0-9._%+\-]*[A-Za-z0-9_])?@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}$"
+    return F.transform(parts, lambda t: F.struct(t.alias("raw"), F.lower(t).alias("address"), (t.rlike(good) & ~t.contains("..") & ~F.substring_index(F.lower(t), "@", 1).isin(PLACEHOLDER_LOCALS)).alias("valid")))
+
+
 def phones(c: Column) -> Column:
     """Ten-digit national numbers: mobiles start 6 to 9; country code and leading zeros dropped; placeholders refused."""
     parts = F.split(F.coalesce(c, F.lit("")), "[/,;|]")

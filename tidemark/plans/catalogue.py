@@ -185,7 +185,7 @@ def name_links(spark, d):
 
 def _load() -> None:
     """Register the queries of the other modules of this package."""
-    from tidemark.plans import extended  # noqa: F401
+    from tidemark.plans import cleaning, extended  # noqa: F401
 
 
 def queries() -> dict:
