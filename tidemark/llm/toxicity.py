@@ -20,7 +20,7 @@ from __future__ import annotations
 import pickle
 import string
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import fresh, tidy
+from tidemark.llm.common import tidy
 
 _STRIP = string.punctuation + "«»„“”‘’¿¡…–—"
 #: Words that are worked on at once.
@@ -334,28 +334,28 @@ def _pieces(lengths: list[int], lap: int) -> list[list[tuple[int, int, int]]]:
     return out + ([held] if held else [])
 
 
-def _scorer(handle, text_at: int, score_col: str):
-    def run(batches):
+def _scorer(handle):
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = handle.value
         known: dict[str, int] = {}
         table = np.zeros((0, sum(m.cfg.widths) * m.cfg.filters), dtype=np.float32)
-        for batch in batches:
+        for column in columns:
             scores = []
-            for lo in range(0, batch.num_rows, 128):
-                texts = [words_of(t) for t in batch.slice(lo, 128).column(text_at).to_pylist()]
+            for lo in range(0, len(column), 128):
+                texts = [words_of(t) for t in column.slice(lo, 128).to_pylist()]
                 pooled = np.zeros((len(texts), m.cfg.filters * len(m.cfg.widths)), np.float32)
                 for group in _pieces([len(t) for t in texts], max(m.cfg.widths) - 1):
                     parts = [texts[i][a:b] for i, a, b in group]
-                    fresh = [w for w in {w for t in parts for w in t} if w not in known]
-                    if len(known) + len(fresh) > 150_000:
+                    new = [w for w in {w for t in parts for w in t} if w not in known]
+                    if len(known) + len(new) > 150_000:
                         known, table = {}, table[:0]
-                        fresh = list({w for t in parts for w in t})
-                    if fresh:
-                        rows = np.array([word_rows(w, m.cfg) for w in fresh], dtype=np.int64)
+                        new = list({w for t in parts for w in t})
+                    if new:
+                        rows = np.array([word_rows(w, m.cfg) for w in new], dtype=np.int64)
                         base = len(known)
-                        for i, w in enumerate(fresh):
+                        for i, w in enumerate(new):
                             known[w] = base + i
-                        need = base + len(fresh)
+                        need = base + len(new)
                         if need > len(table):
                             grown = np.zeros((max(need, 2 * len(table)), table.shape[1]), dtype=np.float32)
                             grown[:base] = table[:base]
@@ -366,20 +366,21 @@ def _scorer(handle, text_at: int, score_col: str):
                     # pooling is a maximum of at least 0, so pieces of a text are put together by one
                     np.maximum.at(pooled, [i for i, _, _ in group], m.pooled(table[flat], offsets))
                 scores.append(m.score(pooled))
-            s = np.concatenate(scores) if scores else np.zeros(0)
-            columns = [batch.column(i) for i in range(batch.num_columns) if i != text_at]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(s, pa.float64())], names=[batch.schema.names[i] for i in range(batch.num_columns) if i != text_at] + [score_col])
+            yield pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())
 
     return run
 
 
 def score(docs: DataFrame, model: Model, *, keep: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """Columns ``keep`` of ``docs`` and ``score_col``, which none of them may be called; whole texts, in pieces of bounded size."""
+    """Columns ``keep`` of ``docs`` and ``score_col``, which none of them may be called; whole texts, in pieces of bounded size.
+
+    Only the text goes to the worker and only the score comes back.
+    """
     if score_col in keep:
         raise ValueError(f"{score_col} is among the kept columns")
-    spark = docs.sparkSession
-    handle = spark.sparkContext.broadcast(model)  # its size is fixed by the configuration
-    text_name, = fresh(keep, "_text")
-    src = docs.select(*keep, F.col(text_col).cast("string").alias(text_name))
-    schema = T.StructType([src.schema[c] for c in keep] + [T.StructField(score_col, T.DoubleType())])
-    return src.mapInArrow(tidy(_scorer(handle, len(keep), score_col)), schema)
+    handle = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by the configuration
+    run = tidy(_scorer(handle))
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    # declared so that no filter or projection above makes a second run of it
+    scored = F.arrow_udf(run, T.DoubleType()).asNondeterministic()
+    return docs.select(*keep, scored(F.col(text_col).cast("string")).alias(score_col))
