@@ -34,6 +34,11 @@ from tidemark.llm.common import Scratch
 TEMPLATES = license_texts.TEMPLATES
 
 TOKEN = "[a-z0-9]+(?:\\.[0-9]+)*"
+#: Words and syllables that run through prose; they only decide in what order anchors are chosen.
+COMMON = frozenset(
+    "a all also an and any are as at be been but by can do either except for from further had has have here how if in is it its later may more no not of "
+    "on or other our out over sa should so some such than that the their them then there these they this to under up use was we were what when which while "
+    "who will with without would you your nc nd".split())
 #: A directory with more than one in so many of all rows is hot.
 HOT = 200
 #: File names that hold a licence for their directory.
@@ -58,14 +63,14 @@ def anchors(templates=TEMPLATES, threshold: float = 0.7) -> list[str]:
     """Terms of which every line at the threshold or above has one.
 
     Of each template heavy, long terms are taken until the rest of its vector
-    is shorter than ``threshold`` times the whole: a line that shares only that
-    rest has a smaller cosine.  Only terms without a dot are taken, so that
-    words cut at anything but letters and digits are enough to find them.
+    is shorter than ``threshold`` times the whole: a piece that shares only that
+    rest has a smaller cosine.  Words of running prose come last, so that few
+    texts pass.
     """
     counts, idf = weights(templates)
     out: set[str] = set()
     for c in counts:
-        heavy = sorted((t for t in c if "." not in t), key=lambda t: (-c[t] * idf[t] * len(t) ** 2, t))  # long terms are rarer in prose
+        heavy = sorted(c, key=lambda t: (t in COMMON, -c[t] * idf[t] * len(t) ** 2, t))  # long terms are rarer in prose
         norm = sum((c[t] * idf[t]) ** 2 for t in c)
         rest = sum((c[t] * idf[t]) ** 2 for t in c if t not in out)
         for t in heavy:
@@ -74,10 +79,6 @@ def anchors(templates=TEMPLATES, threshold: float = 0.7) -> list[str]:
             if t not in out:
                 out.add(t)
                 rest -= (c[t] * idf[t]) ** 2
-        else:
-            # nothing but terms with dots is left: their first parts stand for them
-            if rest >= (threshold - 1e-6) ** 2 * norm:
-                out |= {t.split(".")[0] for t in c if "." in t}
     return sorted(out)
 
 
@@ -91,8 +92,8 @@ def template_rows(templates=TEMPLATES) -> list[tuple[int, str, str, float]]:
     return out
 
 
-def plain_words(text: Column) -> Column:
-    return F.split(F.lower(text), "[^a-z0-9]+")
+def tokens_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
 def possible(tokens: Column, templates, threshold: float) -> Column:
@@ -136,30 +137,31 @@ BLANK = "\n[ \t\r#/*;%-]*(?=\n)"
 UNITS = ("line", "sentence", "block", "file")
 
 
-def pieces_of(text: Column, is_file: Column) -> Column:
-    """array<struct<unit, line_no, text>>: every line, sentence and block of a text, and the whole of a licence file.
+def pieces_of(text: Column, is_file: Column, worth) -> Column:
+    """array<struct<unit, line_no, text>>: the lines, sentences and blocks of a text, and the whole of a licence file, that are ``worth`` a look.
 
-    Sentences and blocks that are no more than a line of their own are left out.
+    Sentences and blocks that are no more than a line of their own are left
+    out; what is not worth a look as a whole holds no part that is.
     """
-    lines = F.split(text, "\n", -1)
     piece = lambda unit, at, x: F.struct(F.lit(UNITS.index(unit)).alias("unit"), at.cast("int").alias("line_no"), x.alias("text"))
-    by_line = F.transform(lines, lambda x, i: piece("line", i, x))
-    sentences = lambda x, i: F.transform(F.split(x, "(?<=[.!?])[ \t]+", -1), lambda y: piece("sentence", i, y))
-    by_sentence = F.flatten(F.transform(lines, lambda x, i: F.when(x.rlike("[.!?][ \t]+[^ \t]"), sentences(x, i)).otherwise(F.array().cast(PIECES))))
+    none = F.array().cast(PIECES)
+    by_line = F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: piece("line", i, x)), lambda p: worth(p["text"]))
+    sentences = lambda p: F.transform(F.split(p["text"], "(?<=[.!?])[ \t]+", -1), lambda y: piece("sentence", p["line_no"], y))
+    split = lambda p: F.when(p["text"].rlike("[.!?][ \t]+[^ \t]"), sentences(p)).otherwise(none)
     # block k starts after the line breaks of what stands before it
     parts = F.split(text, BLANK, -1)
     gaps = F.regexp_extract_all(text, F.lit(BLANK), F.lit(0))
     breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(PIECES).alias("out"))
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         lead = F.when(x["p"].startswith("\n"), 1).otherwise(0)
-        out = F.when(breaks(x["p"]) > lead, F.concat(acc["out"], F.array(piece("block", acc["at"] + lead, x["p"])))).otherwise(acc["out"])
+        out = F.when((breaks(x["p"]) > lead) & worth(x["p"]), F.concat(acc["out"], F.array(piece("block", acc["at"] + lead, x["p"])))).otherwise(acc["out"])
         return F.struct((acc["at"] + breaks(x["p"]) + F.coalesce(breaks(x["g"]), F.lit(0))).cast("int").alias("at"), out.alias("out"))
 
     by_block = F.aggregate(F.arrays_zip(parts.alias("p"), gaps.alias("g")), start, step, lambda acc: acc["out"])
-    whole = F.when(is_file, F.array(piece("file", F.lit(0), text))).otherwise(F.array().cast(PIECES))
-    return F.concat(by_line, by_sentence, by_block, whole)
+    whole = F.when(is_file, F.array(piece("file", F.lit(0), text))).otherwise(none)
+    return F.element_at(F.transform(F.array(by_line), lambda l: F.concat(l, F.flatten(F.transform(l, split)), by_block, whole)), 1)
 
 
 PIECES = "array<struct<unit:int,line_no:int,text:string>>"
@@ -176,6 +178,7 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", te
     spark = files.sparkSession
     scratch = Scratch(spark, "licenses")
     words = F.array(*[F.lit(t) for t in anchors(templates, threshold)])
+    worth = lambda x: F.arrays_overlap(tokens_of(x), words)
     base = F.regexp_extract(F.coalesce(F.col(path_col).cast("string"), F.lit("")), "[^/]*$", 0)
     is_file = F.coalesce(license_file if license_file is not None else base.rlike(LICENSE_FILE), F.lit(False))
     rows = files.select(
@@ -183,9 +186,8 @@ def scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "path", te
     rows = rows.withColumn("dir", F.regexp_replace("path", "/[^/]*$", ""))
     # one piece per distinct wording is scored: notices repeat across a corpus
     noted = scratch.write(
-        rows.where(F.arrays_overlap(plain_words(F.col("text")), words)).select("id", "path", F.inline(pieces_of(F.col("text"), F.col("is_file"))))
-        .where(F.arrays_overlap(plain_words(F.col("text")), words))
-        .where(possible(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)), templates, threshold))
+        rows.where(worth(F.col("text"))).select("id", "path", F.inline(pieces_of(F.col("text"), F.col("is_file"), worth)))
+        .where(possible(tokens_of(F.col("text")), templates, threshold))
         .withColumn("piece", F.unhex(F.md5("text"))),
         "pieces",
     )
