@@ -13,24 +13,34 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-ROW = "path string, row long, cells array<string>, encoding string, delimiter string, replaced long"
+ROW = "path string, row long, cells array<string>, encoding string, delimiter string, replaced long, problem string"
 _MARKS = {b"\xef\xbb\xbf": "utf-8-sig", b"\xff\xfe": "utf-16", b"\xfe\xff": "utf-16"}
+_COLUMNS = [c.split()[0] for c in ROW.split(", ")]
+CHUNK = 10_000
 
 
 def decode(content: bytes) -> tuple[str, str]:
-    """Text and encoding: byte-order mark, else UTF-8, else Windows-1252 (undefined bytes become U+FFFD)."""
+    """Text and encoding: byte-order mark, else UTF-8, else Windows-1252, else Latin-1, which takes any byte."""
     for mark, name in _MARKS.items():
         if content.startswith(mark):
             return content.decode(name, "replace"), name
-    try:
-        return content.decode("utf-8"), "utf-8"
-    except UnicodeDecodeError:
-        return content.decode("cp1252", "replace"), "cp1252"
+    for name in ("utf-8", "cp1252"):
+        try:
+            return content.decode(name), name
+        except UnicodeDecodeError:
+            pass
+    return content.decode("latin-1"), "latin-1"
 
 
 def delimiter(text: str) -> str:
-    """The mark whose count per line is most even and high; a comma if none shows up."""
+    """The mark that a sniffer names, if seven lines in ten hold it; else the one whose count per line is most even and high; a comma if none shows up."""
     lines = [x for x in text.splitlines()[:200] if x.strip()]
+    try:
+        mark = csv.Sniffer().sniff("\n".join(lines[:50]), delimiters=",;\t|").delimiter
+        if sum(mark in x for x in lines) >= 0.7 * len(lines):
+            return mark
+    except csv.Error:
+        pass
     best, top = ",", 0.0
     for mark in ",;\t|":
         counts = [x.count(mark) for x in lines]
@@ -44,27 +54,87 @@ def delimiter(text: str) -> str:
     return best
 
 
+def tabular(text: str) -> bool:
+    """Whether a plain text is a table: one mark, as often in at least seven of ten lines."""
+    lines = [x for x in text.splitlines()[:200] if x.strip()]
+    counts = [x.count(delimiter(text)) for x in lines]
+    return len(lines) >= 2 and any(counts) and max(counts.count(c) for c in set(counts) if c) >= 0.7 * len(lines)
+
+
+def _cells(text: str, mark: str):
+    """(row, cells, problem); a row that cannot be read is named and the next is read."""
+    reader, n = csv.reader(io.StringIO(text, newline=""), delimiter=mark), 0
+    while True:
+        n += 1
+        try:
+            row = next(reader)
+        except StopIteration:
+            return
+        except csv.Error as e:
+            yield n, [], str(e)[:500]
+            continue
+        if any(c.strip() for c in row):
+            yield n, row, None
+
+
 def _rows(frames):
     for frame in frames:
         for path, content in zip(frame["path"], frame["content"]):
             text, encoding = decode(bytes(content))
-            mark = delimiter(text)
-            out = [(path, n, row, encoding, mark, sum(c.count("�") for c in row)) for n, row in enumerate(csv.reader(io.StringIO(text), delimiter=mark), 1) if any(c.strip() for c in row)]
-            for lo in range(0, len(out), 10_000):
-                yield pd.DataFrame(out[lo : lo + 10_000], columns=["path", "row", "cells", "encoding", "delimiter", "replaced"])
+            mark, out = delimiter(text), []
+            for n, row, problem in _cells(text, mark):
+                out.append((path, n, row, encoding, mark, sum(c.count("�") for c in row), problem))
+                if len(out) == CHUNK:
+                    yield pd.DataFrame(out, columns=_COLUMNS)
+                    out = []
+            if out:
+                yield pd.DataFrame(out, columns=_COLUMNS)
 
 
-def listing(spark: SparkSession, folder: str, supported: tuple[str, ...] = ("csv", "tsv", "txt")) -> DataFrame:
-    """Every file below a folder but hidden and temporary ones; others than supported are listed, not dropped."""
+def _lines(frames):
+    for frame in frames:
+        for path, content in zip(frame["path"], frame["content"]):
+            text, _ = decode(bytes(content))
+            if tabular(text):
+                continue
+            lines = [(path, k // 2000, k + 1, x) for k, x in enumerate(text.splitlines())]
+            for lo in range(0, len(lines), CHUNK):
+                yield pd.DataFrame(lines[lo : lo + CHUNK], columns=["path", "chunk", "line", "text"])
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     name = F.regexp_extract("path", "[^/]*$", 0)
-    kind = F.lower(F.regexp_extract(name, "\\.([^.]+)$", 1))
-    return files.where(~name.rlike("^(\\.|~\\$)|\\.(tmp|crdownload)$")).select("path", "length", "modificationTime", "content", kind.alias("kind"), kind.isin(*supported).alias("supported"))
+    inside = F.expr(f"substring(path, locate({_quoted(folder.rstrip('/'))}, path) + {len(folder.rstrip('/'))})")
+    hidden = name.rlike("^~\\$|\\.(tmp|crdownload)$") | inside.rlike("/\\.")
+    return files.where(~hidden).withColumn("kind", F.lower(F.regexp_extract(name, "\\.([^.]+)$", 1)))
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def listing(spark: SparkSession, folder: str, supported: tuple[str, ...] = ("csv", "tsv", "txt")) -> DataFrame:
+    """Every file below a folder in the order of paths, but hidden and temporary ones and those in hidden folders; no content is read.
+
+    Others than supported are listed, not dropped.
+    """
+    return _files(spark, folder).select("path", "length", "modificationTime", "kind", F.col("kind").isin(*supported).alias("supported")).orderBy("path")
+
+
+def contents(spark: SparkSession, folder: str, kinds: tuple[str, ...]) -> DataFrame:
+    """(path, kind, content) of the files of these kinds."""
+    return _files(spark, folder).where(F.col("kind").isin(*kinds)).select("path", "kind", "content")
 
 
 def read_delimited(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per line with cells: path, row, cells, encoding, delimiter, replaced."""
-    return listing(spark, folder).where("supported").select("path", "content").mapInPandas(_rows, ROW)
+    """One row per line with cells: path, row, cells, encoding, delimiter, replaced, problem (why a row could not be read)."""
+    return contents(spark, folder, ("csv", "tsv", "txt")).select("path", "content").mapInPandas(_rows, ROW)
+
+
+def read_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, chunk, line, text) of plain text files that are no tables, 2,000 lines a chunk."""
+    return contents(spark, folder, ("txt",)).select("path", "content").mapInPandas(_lines, "path string, chunk long, line long, text string")
 
 
 def header_rows(rows: DataFrame, aliases: dict[str, list[str]], within: int = 40) -> DataFrame:
@@ -78,8 +148,11 @@ def header_rows(rows: DataFrame, aliases: dict[str, list[str]], within: int = 40
 
 
 def records(rows: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
-    """Rows under their file's header as maps: known fields by field, all cells by position; repeated headers go."""
-    joined = rows.join(header_rows(rows, aliases), "path").where(F.col("row") > F.col("header_row"))
+    """Rows under their file's header as maps: known fields by field, all cells by position; rows that repeat the header go."""
+    plain = lambda c: F.transform(c, lambda x: F.lower(F.trim(x)))
+    head = rows.select("path", F.col("row").alias("header_row"), plain("cells").alias("_head"))
+    found = header_rows(rows, aliases).join(head, ["path", "header_row"])
+    joined = rows.join(found, "path").where((F.col("row") > F.col("header_row")) & (plain("cells") != F.col("_head")))
     pairs = F.filter(F.arrays_zip(F.col("fields").alias("f"), F.col("cells").alias("c")), lambda x: x["f"].isNotNull() & (F.trim(x["c"]) != ""))
     values = F.map_from_entries(F.transform(F.array_distinct(F.transform(pairs, lambda x: x["f"])), lambda f: F.struct(f.alias("k"), F.array_join(F.transform(F.filter(pairs, lambda x: x["f"] == f), lambda x: F.trim(x["c"])), "; ").alias("v"))))
     return joined.select("path", "row", values.alias("values"), "cells").where(F.size("values") > 0)

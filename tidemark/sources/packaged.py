@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.delimited import listing
+from tidemark.sources.delimited import contents
 
 ROW = "path string, part string, row long, cells array<string>, problem string"
 MEMBER = "path string, member string, content binary, problem string"
@@ -133,7 +133,7 @@ def _frames(frames):
 
 def read_packaged(spark: SparkSession, folder: str) -> DataFrame:
     """One row per line with cells of every workbook, word-processor and JSON file below a folder."""
-    return listing(spark, folder, tuple(READERS)).where("supported").select("path", "kind", "content").mapInPandas(_frames, ROW)
+    return contents(spark, folder, tuple(READERS)).mapInPandas(_frames, ROW)
 
 
 def members(content: bytes, depth: int = 2, most: int = 5000, total: int = 5 << 30, single: int = 128 << 20, ratio: int = 1000, at: str = ""):
@@ -178,4 +178,4 @@ def _members(frames):
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """One row per member of every ZIP below a folder: its bytes, or the reason why it was skipped."""
-    return listing(spark, folder, ("zip",)).where(F.col("supported")).select("path", "content").mapInPandas(_members, MEMBER)
+    return contents(spark, folder, ("zip",)).select("path", "content").mapInPandas(_members, MEMBER)
