@@ -1,41 +1,13 @@
-"""Connected components of a link table, without bringing it to the driver.
-
-Each round every vertex takes the smallest label among itself and its
-neighbours, labels are followed one step further, and edges are rewritten to
-labels; edges inside a component vanish, so the table shrinks every round.
-"""
+"""Connected components of a link table, over the tables of one run."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch
+from tidemark.operators import graph
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str = "cc", max_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """(v, component) for every vertex of ``edges`` (longs a, b); component is its smallest vertex."""
-    live = scratch.write(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), f"{name}-e0")
-    labels = None
-    for k in range(max_rounds):
-        if live.isEmpty():
-            break
-        both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("m"))
-        # follow the label's own label once
-        hop = near.select(F.col("v").alias("m"), F.col("m").alias("mm"))
-        step = scratch.write(near.join(hop, "m").select("v", F.col("mm").alias("to")), f"{name}-s{k}")
-        if labels is None:
-            labels = step.select("v", F.col("to").alias("component"))
-        else:
-            moved = labels.join(step.select(F.col("v").alias("component"), "to"), "component", "left")
-            labels = scratch.write(moved.select("v", F.coalesce("to", "component").alias("component")), f"{name}-l{k}")
-        a, b = step.select(F.col("v").alias("a"), F.col("to").alias("ta")), step.select(F.col("v").alias("b"), F.col("to").alias("tb"))
-        moved = live.join(a, "a").join(b, "b").where("ta <> tb")
-        live = scratch.write(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), f"{name}-e{k + 1}")
-    else:
-        raise RuntimeError("components did not settle")
-    if labels is None:
-        return edges.select(F.col("a").alias("v"), F.col("a").alias("component")).limit(0)
-    # labels of vertices that later rounds moved are rewritten above, so each is its component's smallest vertex
-    return labels
+    return graph.components(edges, scratch.write, name)
