@@ -185,7 +185,7 @@ def name_links(spark, d):
 
 def _load() -> None:
     """Register the queries of the other modules of this package."""
-    from tidemark.plans import admin, assist, cleaning, extended, mapping  # noqa: F401
+    from tidemark.plans import admin, assist, cleaning, extended, mapping, products  # noqa: F401
 
 
 def queries() -> dict:
