@@ -13,8 +13,10 @@ are dealt out as pairs of blocks.
 
 Edge cases: vectors that are null, empty, zero, or with null or non-finite
 components link with nothing; vectors of different lengths do not link with
-each other; equal vectors are one class with a multiplicity; repeated rows are copies; an empty table gives an
-empty result; other columns are ignored.
+each other; equal vectors are one class with a multiplicity; repeated rows are
+copies; of equal smallest ids, and where a null id stands among others, the
+number that is there counts; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -130,7 +132,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def _encode(handle, cfg: Config):
-    """Vectors to (id, code, vec, d); a length that the sample lacks gets the random start."""
+    """(id, v, mark) to (id, code, vec, d, mark); a length that the sample lacks gets the random start."""
 
     def run(batches):
         books = dict(handle.value)
@@ -143,7 +145,7 @@ def _encode(handle, cfg: Config):
                     books[dim] = learn(np.zeros((0, dim)), cfg)
                 codes = books[dim].codes(unit(x)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows)), pa.array(codes), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(np.full(len(x), dim, np.int64))], names=["id", "code", "vec", "d"])
+                    [batch.column(0).take(pa.array(rows)), pa.array(codes), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(np.full(len(x), dim, np.int64)), batch.column(2).take(pa.array(rows))], names=["id", "code", "vec", "d", "mark"])
 
     return run
 
@@ -265,9 +267,10 @@ def dedup(table: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding
     """vec_id, n_links, component_id (smallest id reachable) and kept, one row per vector."""
     spark = table.sparkSession
     scratch = Scratch(spark, "embeddings")
-    src = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
+    src = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).withColumn("mark", F.xxhash64("v"))
     usable = src.where("v is not null and size(v) > 0 and exists(v, x -> x <> 0) and not exists(v, x -> x is null or isnan(x) or abs(x) = double('Infinity'))")
-    ids = src.select("vec_id")
+    # a row is addressed by its id and its vector: ids may repeat or be null
+    ids = src.select("vec_id", "mark")
     fit = usable.select("v", F.xxhash64("vec_id", F.lit(cfg.seed)).alias("h")).orderBy("h").limit(cfg.sample).collect()
     if not fit:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -276,7 +279,7 @@ def dedup(table: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding
         by.setdefault(len(r["v"]), []).append(r["v"])
     books = {dim: learn(unit(np.array(x, dtype=np.float64)), cfg) for dim, x in by.items()}
     handle = spark.sparkContext.broadcast(books)
-    coded = scratch.write(usable.select("vec_id", "v").mapInArrow(_encode(handle, cfg), "id long, code long, vec binary, d long"), "coded")
+    coded = scratch.write(usable.select("vec_id", "v", "mark").mapInArrow(_encode(handle, cfg), "id long, code long, vec binary, d long, mark long"), "coded")
     classes = coded.groupBy("vec").agg(F.min("id").alias("least"), F.min("code").alias("code"), F.min("d").alias("d"), F.count("*").alias("weight"))
     classes = scratch.write(classes.select(F.monotonically_increasing_id().alias("id"), "least", "code", "d", "weight", "vec"), "classes")
     probes = classes.select("id", "code", "d").mapInArrow(_probes(cfg), "key long, id long, code long, own boolean")
@@ -302,7 +305,7 @@ def dedup(table: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding
     group = scratch.write(group, "group")
     least = group.groupBy("top").agg(F.min("least").alias("component_id"))
     placed = group.join(least, "top").select("vec", "n_links", "component_id")
-    found = coded.select(F.col("id").alias("f_id"), "vec").join(placed, "vec").select("f_id", "n_links", "component_id").dropDuplicates(["f_id"])
+    found = coded.select(F.col("id").alias("f_id"), F.col("mark").alias("f_mark"), "vec").join(placed, "vec").select("f_id", "f_mark", "n_links", "component_id").dropDuplicates(["f_id", "f_mark"])
     component = F.coalesce("component_id", "vec_id")
-    return ids.join(found, ids["vec_id"].eqNullSafe(found["f_id"]), "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    return ids.join(found, ids["vec_id"].eqNullSafe(found["f_id"]) & (ids["mark"] == found["f_mark"]), "left").select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
