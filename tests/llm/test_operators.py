@@ -739,6 +739,49 @@ def test_licenses_table(spark):
     assert found == brute_licenses(rows)
 
 
+def odd_docs(spark):
+    """Nulls in every column, empty, blank and very long texts, repeated rows, ties, and columns named like the operators' own."""
+    long = " ".join(f"w{i % 9973}x{i % 31}" for i in range(120_000))
+    rows = [(1, None), (1, None), (None, None), (None, "null id words of some length here"), (2, ""), (3, " \n\t "), (4, long), (5, long), (6, "a" * 300_000), (7, "same words again and again"), (7, "same words again and again"), (8, "same words again and again"), (9, "\x00 \U0001F600 é")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    names = ["score", "id", "key", "label", "html", "uid", "v", "a", "b", "cls", "t_key", "component_id", "kept", "size", "shard", "slot", "h", "blob", "_text", "text_crc32", "n_words", "sequence_id", "start", "path", "dir", "item_id", "least", "place", "group"]
+    return df.withColumns({n: F.lit("clash") for n in names}).repartition(3), rows
+
+
+def test_odd_documents(spark):
+    """Every operator on documents keeps to its definition on them."""
+    df, rows = odd_docs(spark)
+    plain = [(i, t) for i, t in rows]
+    assert Counter(map(tuple, substring.dedup(df).collect())) == brute_substring(plain)
+    got = Counter((r["doc_id"], r["n_shingles"]) for r in minhash.dedup(df).collect())
+    assert sum(got.values()) == len(rows) and {i: n for i, n in got}[6] == 1
+    same = {r["doc_id"]: (r["component_id"], r["kept"]) for r in minhash.dedup(df).collect() if r["doc_id"] in (4, 5, 7, 8)}
+    assert same == {4: (4, True), 5: (4, False), 7: (7, True), 8: (7, False)}
+    found = secrets.ledger_scan(df)
+    assert found.count() == len(rows) and all(secrets_of(r["_spans"]) == [x for x in brute_spans(r["text"]).split(",") if x] for r in found.select("text", "_spans").collect())
+    check_packing(packing.pack(df.where("doc_id is not null"), tokenizer_path=queries.tokenizer_path()).collect(), [(i, t) for i, t in plain if i is not None])
+    shards = sharding.shard(df).collect()
+    assert Counter((r["doc_id"], r["size"]) for r in shards) == Counter((i, len((t or "").encode()) + 16) for i, t in plain)
+    bench = spark.createDataFrame([(1, "same words again and again"), (1, "same words again and again"), (None, None), (2, "")], "item_id long, text string").withColumn("doc_id", F.lit("clash"))
+    assert Counter((r["doc_id"], r["distance"]) for r in decontam.find(df, bench).collect()) == Counter({(7, 0): 4, (8, 0): 2})
+    files = df.withColumn("path", F.concat(F.lit("/a/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("x"))))
+    assert licenses.scan(files).count() == len(rows) and licenses.scan(files).where("license is not null").isEmpty()
+    m = toxicity.train(spark.createDataFrame([(1, "a", 1, "en"), (2, "b", 0, None)], "key long, text string, label int, lang string"))
+    scored = toxicity.score(df, m, keep=["doc_id", "score"], score_col="p").collect()
+    assert len(scored) == len(rows) and all(0 <= r["p"] <= 1 for r in scored)
+
+
+def test_odd_vectors_and_pages(spark):
+    """Repeated ids and rows, nulls in every column, clashing names."""
+    v = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0]), (2, None), (None, None), (3, [0.0, 1.0])]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>").withColumns({n: F.lit(1) for n in ("label", "id", "code", "vec", "key", "n_links", "d", "v")})
+    got = Counter((r["vec_id"], r["n_links"]) for r in embedding_dedup.dedup(df).collect())
+    assert got == Counter({(1, 2): 2, (None, 2): 1, (2, 0): 1, (None, 0): 1, (3, 0): 1})
+    p = spark.createDataFrame([(None, "http://com/en/x"), (1, None), (1, None), (2, "http://" + "a." * 300 + "com/en/" + "y" * 100_000)], "page_id long, url string").withColumns({n: F.lit("c") for n in ("html", "host", "path", "rule", "verdict", "key")})
+    out = Counter((r["page_id"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(p).collect())
+    assert out == Counter({(None, "com/en/", "block"): 1, (1, None, "allow"): 2, (2, "com/en/", "block"): 1})
+
+
 def test_empty_tables(spark, none):
     assert substring.dedup(none).isEmpty() and minhash.dedup(none).isEmpty() and secrets.ledger_scan(none).isEmpty()
     assert packing.pack(none, tokenizer_path=queries.tokenizer_path()).isEmpty() and sharding.shard(none).isEmpty()

@@ -18,7 +18,8 @@ with their counts.  Equal texts are searched once.
 
 Edge cases: a null, empty or blank text has no words; texts shorter than a
 window lose nothing; repeated rows are copies of each other; overlapping
-occurrences are removed once; a null id is an id of its own; an empty table
+occurrences are removed once, and which of equal windows came first changes
+nothing, for all go; a null id is an id of its own; an empty table
 gives an empty result; other columns are ignored.
 """
 
