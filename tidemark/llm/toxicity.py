@@ -347,7 +347,7 @@ def _scorer(handle):
                 for group in _pieces([len(t) for t in texts], max(m.cfg.widths) - 1):
                     parts = [texts[i][a:b] for i, a, b in group]
                     new = [w for w in {w for t in parts for w in t} if w not in known]
-                    if len(known) + len(new) > 150_000:
+                    if len(known) + len(new) > 300_000:
                         known, table = {}, table[:0]
                         new = list({w for t in parts for w in t})
                     if new:
