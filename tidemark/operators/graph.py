@@ -6,23 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rounds of ``components`` that go by number before hashes take turns.
+BY_NUMBER = 3
+
+
 def components(edges: DataFrame, checkpoint, name: str = "cc", max_rounds: int = 100) -> DataFrame:
     """(v, component) for every vertex of ``edges`` (longs a, b); component is its smallest vertex.
 
-    Each round every vertex takes the smallest label among itself and its
+    Each round every vertex takes the first label among itself and its
     neighbours, labels are followed one step further, and edges are rewritten
     to labels; edges inside a component vanish, so the table shrinks every
-    round, also on long chains.  ``checkpoint(frame, name)`` writes a frame and
-    reads it back, so that a lost executor costs a re-read.  Loops and repeated
-    edges change nothing; no edges give no rows.
+    round.  The first rounds go by the smallest number, which ends stars at
+    once; from then on every other round goes by a hash, which shrinks chains
+    by a constant share whatever their numbering.  ``checkpoint(frame, name)``
+    writes a frame and reads it back, so that a lost executor costs a re-read.
+    Loops and repeated edges change nothing; no edges give no rows.
     """
     live = checkpoint(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), f"{name}-e0")
-    labels = None
+    labels, hashed = None, False
     for k in range(max_rounds):
         if live.isEmpty():
             break
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("m"))
+        if k >= BY_NUMBER and k % 2 == BY_NUMBER % 2:
+            hashed = True
+            first = lambda c, k=k: F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("v"))
+            near = both.groupBy(F.col("a").alias("v")).agg(F.min(first("b")).alias("m")).select("v", F.least(first("v"), "m")["v"].alias("m"))
+        else:
+            near = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("m"))
         # follow the label's own label once
         hop = near.select(F.col("v").alias("m"), F.col("m").alias("mm"))
         step = checkpoint(near.join(hop, "m").select("v", F.col("mm").alias("to")), f"{name}-s{k}")
@@ -38,8 +49,11 @@ def components(edges: DataFrame, checkpoint, name: str = "cc", max_rounds: int =
         raise RuntimeError("components did not settle")
     if labels is None:
         return edges.select(F.col("a").alias("v"), F.col("a").alias("component")).limit(0)
-    # labels of vertices that later rounds moved are rewritten above, so each is its component's smallest vertex
-    return labels
+    if not hashed:
+        # labels of vertices that later rounds moved are rewritten above, so each is its component's smallest vertex
+        return labels
+    least = labels.groupBy("component").agg(F.min("v").alias("least"))
+    return checkpoint(labels.join(least, "component").select("v", F.col("least").alias("component")), f"{name}-least")
 
 
 def chain_ends(pointers: DataFrame, checkpoint, name: str = "chain") -> DataFrame:

@@ -9,7 +9,6 @@ import re
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import validate as V
 from tidemark.operators import companies as C
 from tidemark.operators import exports as X
 from tidemark.operators import finding as S
@@ -81,9 +80,9 @@ def export_quality(spark, d):
     return X.quality_list(shared(spark, d, ISSUES), shared(spark, d, RAWS))
 
 
-@_query(f"SELECT occurred_at, file_name, stage, severity, message FROM ({ERRORS})")
+@_query(f"SELECT strftime(occurred_at, '%Y-%m-%d %H:%M:%S') AS occurred_at, file_name, stage, severity, message FROM ({ERRORS})")
 def export_errors(spark, d):
-    return X.error_list(shared(spark, d, ERRORS))
+    return X.error_list(shared(spark, d, ERRORS)).withColumn("occurred_at", F.date_format("occurred_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 _METRICS = {
