@@ -24,6 +24,11 @@ UNIQUE_IDS = ["gst", "cin", "udyam", "pan"]
 SEVERITIES = ["info", "warning", "error"]
 #: Points of evidence.
 STRENGTH = {"city": 15, "state": 5, "district": 5, "address": 15, "pin": 10, "phone": 15, "website": 10}
+#: Issues in the order of a record's flags.
+ISSUES = (
+    "not_an_entity_line", "missing_name", "invalid_name", "suspicious_name", "unknown_state", "invalid_city", "invalid_pincode", "city_state_mismatch", "pincode_state_mismatch",
+    "city_name_conflict", "invalid_phone", "placeholder_phone", "invalid_email", "invalid_website", "invalid_registration_id",
+)
 FLAG = "struct<issue_type:string,severity:string,field:string,value:string>"
 FIELDS = ["name", "city", "state", "district", "pincode", "address", "phone", "email", "website", "registration_id", "category"]
 
@@ -62,12 +67,8 @@ def strength(have: dict[str, Column], emails: Column, registration: Column) -> C
     return F.least(F.lit(100), score)
 
 
-def clean(raw: DataFrame, gazetteer: P.Gazetteer = P.Gazetteer(), words: N.Words | None = None, keywords: dict[str, list[str]] | None = None, id_col: str = "record_id") -> DataFrame:
-    """Clean columns of raw records (``original_*`` texts; missing ones are empty) with ``flags`` and what follows from them.
-
-    ``text_role`` (if there) says that a line without a name is no entity line.
-    ``is_resolvable``: there is a normal name and nothing wrong with it.
-    """
+def _steps(raw: DataFrame, gazetteer: P.Gazetteer, words: N.Words | None, id_col: str) -> tuple[DataFrame, dict[str, Column], Column]:
+    """Raw records with the parts that clean columns are made of, the flags of each issue, and whether the name stands."""
     words = words or N.Words(places=gazetteer.places())
     col = lambda n: (F.col(f"original_{n}") if f"original_{n}" in raw.columns else F.lit(None)).cast("string")
     role = F.col("text_role") if "text_role" in raw.columns else F.lit(None).cast("string")
@@ -93,7 +94,7 @@ def clean(raw: DataFrame, gazetteer: P.Gazetteer = P.Gazetteer(), words: N.Words
     in_state, pin_state = gazetteer.state_of_city(F.col("city_norm")), gazetteer.state_of_pin(F.col("pincode"))
     nothing = F.col("problem") == "missing_name"
     line = nothing & F.col("role").isNotNull() & ~F.col("role").isin("", "entity")
-    flags = F.array_compact(F.concat(
+    flags = (
         _flag(line, "not_an_entity_line", "info", "name", F.lit("")), _flag(nothing & ~line, "missing_name", "error", "name", F.col("g_name")),
         _flag(F.col("problem") == "invalid_name", "invalid_name", "error", "name", F.col("g_name")), _flag(F.col("problem") == "suspicious_name", "suspicious_name", "warning", "name", F.left("g_name", F.lit(120))),
         _flag((F.col("state") != "") & ~known, "unknown_state", "warning", "state", F.col("o_state")), _flag(F.col("bad_city"), "invalid_city", "warning", "city", F.col("o_city")),
@@ -106,8 +107,19 @@ def clean(raw: DataFrame, gazetteer: P.Gazetteer = P.Gazetteer(), words: N.Words
         _flags(F.transform(F.filter("mails", lambda m: ~m["valid"]), lambda m: m["raw"]), "invalid_email", "email"),
         _flag((F.col("g_website") != "") & (F.col("website_norm") == ""), "invalid_website", "warning", "website", F.col("g_website")),
         _flag((F.col("g_registration_id") != "") & F.col("reg").isNull(), "invalid_registration_id", "warning", "registration_id", F.col("g_registration_id")),
-    ))
-    step = step.withColumn("flags", flags)
+    )
+    unnamed = F.coalesce((nothing & ~line) | (F.col("problem") == "invalid_name"), F.lit(False))
+    return step, dict(zip(ISSUES, flags, strict=True)), (F.col("forms.normalized") != "") & ~unnamed
+
+
+def clean(raw: DataFrame, gazetteer: P.Gazetteer = P.Gazetteer(), words: N.Words | None = None, keywords: dict[str, list[str]] | None = None, id_col: str = "record_id") -> DataFrame:
+    """Clean columns of raw records (``original_*`` texts; missing ones are empty) with ``flags`` and what follows from them.
+
+    ``text_role`` (if there) says that a line without a name is no entity line.
+    ``is_resolvable``: there is a normal name and nothing wrong with it.
+    """
+    step, made, resolvable = _steps(raw, gazetteer, words, id_col)
+    step = step.withColumn("flags", F.array_compact(F.concat(*made.values())))
     rank = F.array_max(F.transform("flags", lambda f: F.array_position(F.array(*map(F.lit, SEVERITIES)), f["severity"])))
     have = {
         "city": (F.col("city_norm") != "") | (F.col("place_hint") != ""), "state": F.col("state") != "", "district": F.col("district_norm") != "", "address": F.length("address_norm") >= 8,
@@ -123,13 +135,21 @@ def clean(raw: DataFrame, gazetteer: P.Gazetteer = P.Gazetteer(), words: N.Words
         "category_norm", type_hint(F.col("forms.normalized"), keywords or {}).alias("entity_type_hint"), "source_year", strength(have, F.col("emails_all"), F.col("reg")).alias("evidence_strength"),
         F.coalesce(F.try_element_at(F.array(*map(F.lit, SEVERITIES)), rank.cast("int")), F.lit("ok")).alias("quality_severity"),
         F.transform("flags", lambda f: f["issue_type"]).alias("quality_flags"),
-        ((F.col("forms.normalized") != "") & ~F.exists("flags", lambda f: (f["severity"] == "error") & (f["field"] == "name"))).alias("is_resolvable"), "flags",
+        # not said by the flags: a filter on it moves below the projections, and all that makes flags would go along
+        resolvable.alias("is_resolvable"), "flags",
     )
 
 
 def issues(cleaned: DataFrame) -> DataFrame:
     """(record_id, issue_type, severity, field, value): one row per flag."""
-    return cleaned.select("record_id", F.inline("flags"))
+    # outer: for an inner one Spark infers filters on the flags, which it moves below the projections, expressions of expressions
+    return cleaned.select("record_id", F.inline_outer("flags")).where("issue_type is not null")
+
+
+def issues_of(raw: DataFrame, *kinds: str, gazetteer: P.Gazetteer = P.Gazetteer(), words: N.Words | None = None, id_col: str = "record_id") -> DataFrame:
+    """The issues of ``kinds`` (of ``ISSUES``) in raw records, as ``issues`` gives them; nothing else is computed."""
+    step, made, _ = _steps(raw, gazetteer, words, id_col)
+    return step.select("record_id", F.inline(F.array_compact(F.concat(*[made[k] for k in kinds]))))
 
 
 def entity_issues(folded: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -138,7 +158,7 @@ def entity_issues(folded: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return folded.select(key, F.inline(wide))
 
 
-def _duplicates(cleaned: DataFrame, seq: str) -> tuple[DataFrame, DataFrame]:
+def _duplicates(cleaned: DataFrame, seq: str, checkpoint) -> tuple[DataFrame, DataFrame]:
     """Records under their kinds and keys, and the groups of several with their primary.
 
     Equal name and phone, equal name and identifier, and equal in all that
@@ -150,8 +170,10 @@ def _duplicates(cleaned: DataFrame, seq: str) -> tuple[DataFrame, DataFrame]:
         ("exact_name_registration", "DR", " | ", ["name_normalized", "registration_id_norm"], F.col("registration_id_norm") != ""),
         ("identical_record", "DI", "|", ["name_normalized", "city_norm", "state_norm", "address_norm", "phone_norm", "email_norm", "registration_id_norm"], F.col("name_normalized") != ""),
     )
-    made = F.array_compact(F.array(*[F.when(ok, F.struct(F.lit(n).alias("n"), F.lit(kind).alias("dup_type"), F.lit(prefix).alias("prefix"), F.concat_ws(gap, *cols).alias("dup_key"))) for n, (kind, prefix, gap, cols, ok) in enumerate(kinds)]))
-    rows = cleaned.where("is_resolvable").select("record_id", F.col(seq).alias("_seq"), "evidence_strength", F.inline(made))
+    # records that cannot be resolved get no kind; a filter would be moved below all projections
+    made = F.array_compact(F.array(*[F.when(F.col("is_resolvable") & ok, F.struct(F.lit(n).alias("n"), F.lit(kind).alias("dup_type"), F.lit(prefix).alias("prefix"), F.concat_ws(gap, *cols).alias("dup_key"))) for n, (kind, prefix, gap, cols, ok) in enumerate(kinds)]))
+    # written: groups, the ranges that number them and the join would each clean all records again
+    rows = checkpoint(cleaned.select("record_id", F.col(seq).alias("_seq"), "evidence_strength", F.inline(made)), "rows")
     groups = rows.groupBy("n", "dup_type", "prefix", "dup_key").agg(F.count("*").alias("size"), F.max_by("record_id", F.struct("evidence_strength", (-F.col("_seq")).alias("s"))).alias("_first")).where("size > 1")
     return rows, groups
 
@@ -160,7 +182,7 @@ def numbered_groups(cleaned: DataFrame, seq: str, checkpoint, width: int = 6) ->
     """(group_id, dup_type, dup_key, record_id, is_primary) of equal records; groups are dealt to ranges of (kind, key), so no task numbers all of them."""
     from tidemark.operators.offers import numbered
 
-    rows, groups = _duplicates(cleaned, seq)
+    rows, groups = _duplicates(cleaned, seq, checkpoint)
     order = F.concat(F.col("n").cast("string"), F.lit("\u0001"), F.col("dup_key"))
     named = numbered(groups.withColumn("_order", order), "_order", "", checkpoint, width).drop("entity_id")
     g = named.select(F.col("n").alias("_n"), F.col("dup_key").alias("_k"), "_first", F.concat_ws("-", "prefix", "no").alias("group_id"))
