@@ -75,3 +75,12 @@ def test_awkward_rows(spark):
         assert f(spark, docs.limit(0), SF).isEmpty(), name
     assert out.where("doc_id is null").select("text").first()[0] == "[secret]"
     assert P.STAGES[1][1](spark, docs, SF).count() == 5
+
+
+def test_memos_go(spark):
+    """A worker's memo of packing is gone when a task of another operator starts there."""
+    from tidemark.llm import packing
+    from tidemark.llm.common import tidy
+
+    packing._TOKENIZERS["x", 2] = None
+    assert list(tidy(lambda batches: (len(packing._TOKENIZERS) for _ in batches))([1])) == [0]

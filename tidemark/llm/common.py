@@ -99,13 +99,25 @@ def fresh(taken: list[str], *names: str) -> list[str]:
     return out
 
 
+#: Memos that a worker process keeps from task to task.
+memos: list[dict] = []
+
+
+def release() -> None:
+    """Forget the memos of this process."""
+    for memo in memos:
+        memo.clear()
+
+
 def tidy(run):
     """``run``, a function over batches, and then: what its task has freed goes from the worker process back to the system.
 
     Worker processes outlive their tasks, and allocators keep what was freed.
+    They serve one operator after another, so memos of an earlier one go first.
     """
 
     def whole(batches):
+        release()
         yield from run(batches)
         gc.collect()
         pa.default_memory_pool().release_unused()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch
+from tidemark.llm.common import Scratch, memos
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -106,10 +106,11 @@ class WordTokenizer:
 
 
 _TOKENIZERS: dict[tuple[str, int], WordTokenizer] = {}
+memos.append(_TOKENIZERS)
 
 
 def tokenizer(path: str, end_id: int) -> WordTokenizer:
-    """One per worker process, so that the memo outlives a task."""
+    """One per worker process, so that the memo outlives a task; the next operator's task lets it go."""
     if (path, end_id) not in _TOKENIZERS:
         _TOKENIZERS[path, end_id] = WordTokenizer(path, end_id)
     return _TOKENIZERS[path, end_id]
