@@ -16,9 +16,11 @@ REGISTRATIONS = (
     r"(?i)(?:udyam(?:\s*(?:registration\s*)?no\.?)?\s*[:\-]?\s*)?\b(UDYAM-[A-Z]{2}-[0-9]{2}-[0-9]{7})\b",
     r"(?i)(?:cin\s*[:\-]?\s*)?\b([LU][0-9]{5}[A-Z]{2}[0-9]{4}[A-Z]{3}[0-9]{6})\b",
 )
-PHONE = r"(?i)(?:(?:ph(?:one)?|tel|mob(?:ile)?|contact)(?:\s*no)?\.?\s*[:\-]?\s*)?(\+?[0-9(][0-9\s().\-]{6,16}[0-9])"
-PIN = r"(?i)(?:pin(?:\s*code)?\s*[:\-]?\s*)?(?<![0-9])([1-9][0-9]{2}\s?[0-9]{3})(?![0-9])"
+PHONE = r"(?i)(?:(?:ph(?:one)?|tel|mob(?:ile)?|contact)(?:\s*no)?\.?\s*[:\-]?\s*|(?<![\p{L}0-9]))(\+?[0-9(][0-9\s().\-]{6,16}[0-9])"
+PIN = r"(?i)(?:pin(?:\s*code)?\s*[:\-]?\s*|(?<![\p{L}0-9]))([1-9][0-9]{2}\s?[0-9]{3})(?![0-9])"
 EDGE = r"^[\s\-–—:;,.|*•]+|[\s\-–—:;,|*•]+$"
+#: A number in front of a name, of any length; it goes before contacts are lifted, which it may look like.
+NUMBERED = r"^\s*\(?[0-9]+[.)]\s+(?=\p{L})"
 MARKER = r"^\s*(?:\(?[0-9]{1,4}[.)]|[-*•])\s+"
 LABEL = r"^\s*([\p{L}][\p{L} ./()&\-]{0,40}?)\s*[:=]\s*(.+)$"
 
@@ -54,7 +56,7 @@ def parse(c: Column, gazetteer: P.Gazetteer = P.Gazetteer()) -> Column:
             x3 = F.regexp_replace(x3, p, " ")
         numbers = F.filter(_all(PHONE, x3), lambda n: digits(n).between(8, 13))
         # numbers of another length stay where they are
-        x4 = F.regexp_replace(x3, r"(?i)(?:(?:ph(?:one)?|tel|mob(?:ile)?|contact)(?:\s*no)?\.?\s*[:\-]?\s*)?\+?(?:[(]?[0-9][\s().\-]{0,2}){7,12}[0-9](?![0-9])", " ")
+        x4 = F.regexp_replace(x3, r"(?i)(?:(?:ph(?:one)?|tel|mob(?:ile)?|contact)(?:\s*no)?\.?\s*[:\-]?\s*|(?<![\p{L}0-9]))\+?(?:[(]?[0-9][\s().\-]{0,2}){7,12}[0-9](?![0-9])", " ")
         return _struct(emails=emails, urls=urls, regs=regs, phones=numbers, pins=_all(PIN, x4), rest=F.regexp_replace(x4, PIN, " "))
 
     def parted(x: Column) -> Column:
@@ -85,7 +87,7 @@ def parse(c: Column, gazetteer: P.Gazetteer = P.Gazetteer()) -> Column:
             address=F.array_join(F.transform(rest, lambda x: x["p"]), ", "), pincode=or_empty(F.get(l["pins"], F.lit(0))), phone=F.array_join(l["phones"], " / "),
             email=F.array_join(l["emails"], "; "), website=F.array_join(l["urls"], " "), registration_id=F.array_join(l["regs"], "; "))
 
-    return _let(T.squeeze(F.replace(F.coalesce(c, F.lit("")), F.lit("\t"), F.lit(" | "))), lambda x: _let(lifted(x), lambda l: _let(named(parted(l["rest"])), lambda parts: fields(l, parts))))
+    return _let(T.squeeze(F.replace(F.coalesce(c, F.lit("")), F.lit("\t"), F.lit(" | "))), lambda x: _let(lifted(F.regexp_replace(x, NUMBERED, "")), lambda l: _let(named(parted(l["rest"])), lambda parts: fields(l, parts))))
 
 
 def role(text: Column, fields: Column, heading: Column, keyword: Column, title: tuple[str, ...] = ("list", "annexure", "report", "directory", "index"), generic: bool = False) -> Column:
