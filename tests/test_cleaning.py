@@ -1,7 +1,9 @@
 """Cleaning: each expression once in a plan, and issues of one kind alone."""
 
+import duckdb
 import pytest
 
+from tidemark.functions import names as N
 from tidemark.operators import cleaning as K
 from tidemark.plans import catalogue
 from tidemark.plans import cleaning as C
@@ -35,3 +37,24 @@ def test_issues_of(spark):
     cleaned = K.clean(raw).select("record_id", "is_resolvable", "name_normalized", "flags").collect()
     wrong = {r["record_id"] for r in cleaned if any(f["severity"] == "error" and f["field"] == "name" for f in r["flags"])}
     assert {r["record_id"] for r in cleaned if r["is_resolvable"]} == {r["record_id"] for r in cleaned if r["name_normalized"]} - wrong == {"d"}
+
+
+def test_repeated_phrases_and_parts(spark):
+    names = ["M/s. A.B. Hosp", "Co operative  S M S", "​Ｓtar (P) Ltd", "p. ltd", "N/A", None, " x ", "Dr. A . B ć"]
+    got = spark.createDataFrame([(n,) for n in names], "original_name string").select(N.name_forms("original_name")["normalized"].alias("n"), "original_name").withColumn("record_id", N.F.lit("r"))
+    assert [r["n"] for r in got.collect()] == [r["name_normalized"] for r in K.clean(got).select("name_normalized").collect()]
+
+
+#: Raw columns that a query squeezes; a name is squeezed again behind its phrases, and identifiers are by their parts.
+SQUEEZED = {
+    "issue_counts": 11,
+}
+
+
+@pytest.mark.parametrize("name", SQUEEZED)
+def test_issue_reads_once(spark, name, tmp_path):
+    duckdb.sql(f"COPY (SELECT * FROM '{SF}/customer.parquet' UNION ALL SELECT * FROM '{SF}/customer.parquet' WHERE c_custkey % 3 = 0) TO '{tmp_path}/customer.parquet'")
+    frame = catalogue.queries()[name](spark, str(tmp_path))
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("translate(") <= SQUEEZED[name]
+    customer = duckdb.read_parquet(f"{tmp_path}/customer.parquet")  # noqa: F841, read by the SQL
+    assert sorted(map(tuple, frame.collect())) == sorted(duckdb.sql(catalogue.oracle_sql()[name]).fetchall())

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.functions.text import let
 
 
 @dataclass(frozen=True)
@@ -46,7 +49,8 @@ PROTECTED = {
 
 def _lookup(table: dict, key: Column) -> Column:
     made = [F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v) for v in table.values()]
-    return F.try_element_at(F.create_map(*[x for k, v in zip(table, made) for x in (F.lit(k), v)]), key)
+    # a map is searched entry by entry, a set of keys is not
+    return F.when(key.isin(list(table)), F.try_element_at(F.create_map(*[x for k, v in zip(table, made) for x in (F.lit(k), v)]), key))
 
 
 def name_forms(c: Column, words: Words = Words()) -> Column:
@@ -55,20 +59,31 @@ def name_forms(c: Column, words: Words = Words()) -> Column:
     Dotted and spaced initials become one word, safe abbreviations are spelt
     out; the core has no titles in front and no known place behind.
     """
-    x = F.lower(T.squeeze(c))
+    phrased = let(F.lower(T.squeeze(c)), lambda x: phrases(x, words))
+    return let(spelt(let(let(phrased, T.squeeze), lambda x: T.plain(T.given(x))), words), lambda n: forms_of(n, words))
+
+
+def phrases(x: Column, words: Words = Words()) -> Column:
+    """Lower-cased squeezed names with protected phrases replaced and dotted initials joined."""
+    out = x
     for phrase in sorted(words.protected, key=len, reverse=True):
         pattern = "".join(r"\s*" if ch == " " else "\\" + ch if not ch.isalnum() else ch for ch in phrase)
-        x = F.regexp_replace(x, rf"(?U)(?<!\w){pattern}(?!\w)", f" {words.protected[phrase]} ")
-    x = F.regexp_replace(x, r"(?<=(?<!\p{L})\p{L})\.\s?(?=\p{L}(?!\p{L}))", "")
-    spelt = F.transform(T.tokens(x), lambda t: F.coalesce(_lookup(words.safe, t), t))
-    normalized = F.regexp_replace(F.array_join(spelt, " "), r"(?<=(?<!\p{L})\p{L}) (?=\p{L}(?!\p{L}))", "")
-    return let(normalized, lambda n: let(F.filter(F.split(n, " "), lambda t: t != ""), lambda tokens: let(_core(tokens, words), lambda core: let(
-        F.filter(core, lambda t: ~t.isin(list(words.generic))), lambda sig: _forms(n, core, sig, words)))))
+        out = F.regexp_replace(out, rf"(?U)(?<!\w){pattern}(?!\w)", f" {words.protected[phrase]} ")
+    # most names hold the letters of no phrase, and each phrase is a search of its own; a phrase put in may make another
+    some = reduce(or_, (x.contains(max(phrase.split(" "), key=len)) for phrase in words.protected)) if words.protected else F.lit(False)
+    return F.regexp_replace(F.when(some, out).otherwise(x), r"\.(?<=(?<!\p{L})\p{L}\.)\s?(?=\p{L}(?!\p{L}))", "")
+
+
+def spelt(n: Column, words: Words = Words()) -> Column:
+    """Normal names with safe abbreviations spelt out and spaced initials joined."""
+    full = F.transform(F.split(n, " "), lambda t: F.coalesce(_lookup(words.safe, t), t))
+    return F.regexp_replace(F.array_join(full, " "), r" (?<=(?<!\p{L})\p{L} )(?=\p{L}(?!\p{L}))", "")
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def forms_of(normalized: Column, words: Words = Words()) -> Column:
+    """``name_forms`` of a name that ``spelt`` gave."""
+    return let(F.filter(F.split(normalized, " "), lambda t: t != ""), lambda tokens: let(_core(tokens, words), lambda core: let(
+        F.filter(core, lambda t: ~t.isin(list(words.generic))), lambda sig: _forms(normalized, core, sig, words))))
 
 
 def _core(tokens: Column, words: Words) -> Column:

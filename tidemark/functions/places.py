@@ -45,7 +45,10 @@ ADDRESS_WORDS = {
 
 def lookup(table: dict[str, str], key: Column) -> Column:
     """``table[key]``, or null; tables are dictionaries of the user's, small enough for a plan."""
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key) if table else F.lit(None).cast("string")
+    if not table:
+        return F.lit(None).cast("string")
+    # a map is searched entry by entry, a set of keys is not
+    return F.when(key.isin(list(table)), F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key))
 
 
 @dataclass(frozen=True)
@@ -76,20 +79,31 @@ class Gazetteer:
         return replace(self, extra=tuple(sorted({*self.extra, *(n for n in names if len(n) >= 3 and not n.isdigit())})))
 
     def state(self, c: Column) -> Column:
-        n = T.normal(c)
+        return self.state_of(T.normal(c))
+
+    def state_of(self, n: Column) -> Column:
+        """``state`` of a normal form."""
         return F.coalesce(lookup(self.aliases(), n), n)
 
+    def synonym(self, n: Column) -> Column:
+        """The city that a normal form is another name of, else itself."""
+        return F.coalesce(lookup(self.synonyms, n), n)
+
+    def before_state(self, n: Column) -> Column:
+        """A normal form without a state's name or alias of over three letters behind."""
+        long = sorted((a for a in self.aliases() if len(a) > 3), key=lambda a: (-len(a), a))
+        return F.regexp_replace(n, "(?<=..) (?:" + "|".join(map(re.escape, long)) + ")$", "") if long else n
+
     def city(self, c: Column) -> Column:
         """A synonym's city; a state's name or alias of over three letters behind a city goes."""
-        other = lambda x: F.coalesce(lookup(self.synonyms, x), x)
-        long = sorted((a for a in self.aliases() if len(a) > 3), key=lambda a: (-len(a), a))
-        behind = "(?<=..) (?:" + "|".join(map(re.escape, long)) + ")$"
-        first = other(T.normal(c))
-        return other(F.regexp_replace(first, behind, "") if long else first)
+        return self.synonym(self.before_state(self.synonym(T.normal(c))))
 
     def district(self, c: Column) -> Column:
-        n = F.regexp_replace(T.normal(c), r"\s+(district|dist)$", "")
-        return F.coalesce(lookup(self.synonyms, n), n)
+        return self.synonym(self.undistrict(T.normal(c)))
+
+    def undistrict(self, n: Column) -> Column:
+        """A normal form without the word district behind."""
+        return F.regexp_replace(n, r"\s+(district|dist)$", "")
 
     def state_of_city(self, city: Column) -> Column:
         return lookup(self.city_states(), city)
@@ -106,8 +120,13 @@ def observed_places(records: DataFrame, *columns: str, most: int = 20_000) -> li
 
 def address(c: Column, words: dict[str, str] | None = None) -> Column:
     """Normal form with short words spelt out."""
+    return address_of(T.normal(c), words)
+
+
+def address_of(n: Column, words: dict[str, str] | None = None) -> Column:
+    """``address`` of a normal form."""
     table = ADDRESS_WORDS if words is None else words
-    return F.array_join(F.transform(T.tokens(c), lambda t: F.coalesce(lookup(table, t), t)), " ")
+    return F.array_join(F.transform(F.split(n, " "), lambda t: F.coalesce(lookup(table, t), t)), " ")
 
 
 def display(c: Column) -> Column:

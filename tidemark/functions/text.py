@@ -32,23 +32,48 @@ def compose(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squeeze(c: Column) -> Column:
     """Compatibility forms of single characters become plain, zero-width marks go, control characters and runs of white space become one space."""
     plain = F.translate(F.regexp_replace(F.coalesce(c, F.lit("")), "[\u200B\u200C\u200D\u2060\uFEFF]", ""), _WIDE, _PLAIN)
     return F.trim(F.regexp_replace(plain, "(?U)[\\s\\p{Cntrl}]+", " "))
 
 
+def squeeze_odd(c: Column) -> Column:
+    """``squeeze`` of a column, by a single search where its text is printable ASCII with single spaces."""
+    return F.when(c.rlike("[^ -~]|  "), squeeze(c)).otherwise(F.trim(F.coalesce(c, F.lit(""))))
+
+
 def strip_null_like(c: Column) -> Column:
     """An empty string for values that only say that there is none."""
-    return F.when(F.lower(squeeze(c)).isin(NULL_LIKE), "").otherwise(squeeze(c))
+    return given(squeeze(c))
+
+
+def given(x: Column) -> Column:
+    """``strip_null_like`` of a text that ``squeeze`` gave."""
+    return F.when(F.lower(x).isin(NULL_LIKE), "").otherwise(x)
 
 
 def normal(c: Column) -> Column:
     """Lower case, ``&`` as a word, apostrophes dropped, other marks as spaces."""
-    x = F.regexp_replace(F.regexp_replace(F.lower(strip_null_like(c)), "&", " and "), "['’`]", "")
+    return plain(strip_null_like(c))
+
+
+def plain(x: Column) -> Column:
+    """``normal`` of a text that ``strip_null_like`` gave."""
+    x = F.regexp_replace(F.regexp_replace(F.lower(x), "&", " and "), "['’`]", "")
     return F.trim(F.regexp_replace(F.regexp_replace(x, "[^\\p{L}\\p{M}\\p{N}\\s]+", " "), "\\s+", " "))
 
 
+def plain_odd(c: Column) -> Column:
+    """``plain`` of a lower-cased column, by a single search where its text is words of Latin letters and digits."""
+    return F.when(c.rlike("[^a-z0-9 ]|  "), plain(c)).otherwise(F.trim(c))
+
+
 def tokens(c: Column) -> Column:
     return F.filter(F.split(normal(c), " "), lambda t: t != "")
 
@@ -129,12 +154,14 @@ def phone_parts(c: Column) -> Column:
     def read(p: Column) -> Column:
         whole = F.when(p.rlike(r"^[0-9]+\.0+$"), F.regexp_replace(p, r"\.0+$", "")).when(
             p.rlike(r"^[0-9](?:\.[0-9]+)?[eE]\+?[0-9]+$"), p.try_cast("decimal(30,0)").cast("string")).otherwise(F.regexp_replace(p, r"^[A-Za-z][A-Za-z .:\-()/]*?(?=[+(]?[0-9])", ""))
-        digits = F.regexp_replace(whole, "[^0-9]", "")
+        return let(whole, lambda w: let(F.regexp_replace(w, "[^0-9]", ""), lambda digits: let(
+            F.regexp_replace(digits, "^(?:0+|0*91(?=[0-9]{10}$))", ""), lambda short: let(kind(digits, short), lambda k: F.struct(
+                F.trim(w).alias("raw"), F.when(k == "valid", short).otherwise(digits).alias("number"), k.alias("kind"))))))
+
+    def kind(digits: Column, short: Column) -> Column:
         tail = F.when(F.length(digits) >= 10, F.right(digits, F.lit(10))).otherwise(digits)
-        short = F.regexp_replace(digits, "^(?:0+|0*91(?=[0-9]{10}$))", "")
         mobile, landline = short.rlike("^[6-9][0-9]{9}$"), short.rlike("^[1-5][0-9]{9}$") & digits.rlike("^(?:0|91)")
-        kind = F.when(digits == "", "invalid").when(tail.rlike("^([0-9])\\1*$") | tail.isin(PLACEHOLDER_PHONES), "placeholder").when(mobile | landline, "valid").otherwise("invalid")
-        return F.struct(F.trim(whole).alias("raw"), F.when(kind == "valid", short).otherwise(digits).alias("number"), kind.alias("kind"))
+        return F.when(digits == "", "invalid").when(tail.rlike("^([0-9])\\1*$") | tail.isin(PLACEHOLDER_PHONES), "placeholder").when(mobile | landline, "valid").otherwise("invalid")
 
     return F.transform(parts, read)
 
@@ -147,7 +174,11 @@ def strip_null_like_lines(c: Column) -> Column:
 
 def email_parts(c: Column) -> Column:
     """array<struct<raw, address, valid>> of what looks like an address; a text without any is one invalid part."""
-    x = strip_null_like(c)
+    return email_parts_of(strip_null_like(c))
+
+
+def email_parts_of(x: Column) -> Column:
+    """``email_parts`` of a text that ``strip_null_like`` gave."""
     found = F.transform(F.regexp_extract_all(x, F.lit(r"[^\s,;<>()\[\]\"'|]+@[^\s,;<>()\[\]\"'|]+"), F.lit(0)), lambda t: F.regexp_replace(t, "^[.:-]+|[.:-]+$", ""))
     parts = F.when((F.size(found) == 0) & (x != ""), F.array(x)).otherwise(found)
     good = r"^[A-Za-z0-9](?:[A-Za-z0-9._%+\-]*[A-Za-z0-9_])?@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}$"

@@ -46,10 +46,10 @@ def registrations(c: Column) -> Column:
     label = r"(?i)^(?:(?:udyam\s+registration\s+(?:no|number)|gstin|gst|cin|pan|reg(?:istration)?|licen[cs]e|no|number|id)\b[\s.:#\-]*)+"
     parts = F.split(T.strip_null_like(F.regexp_replace(F.coalesce(c, F.lit("")), r"\n|\s{2,}", ";")), "[,;|]+")
 
-    def read(p: Column) -> Column:
-        v = F.upper(F.regexp_replace(F.regexp_replace(F.trim(p), label, ""), r"[\s\-_.]", ""))
-        udyam = "^UDYAM([A-Z]{2})([0-9]{2})([0-9]{7})$"
-        make = lambda rank, kind, value: F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), value.alias("value"))
+    udyam = "^UDYAM([A-Z]{2})([0-9]{2})([0-9]{7})$"
+    make = lambda rank, kind, value: F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), value.alias("value"))
+
+    def read(v: Column) -> Column:
         return (
             F.when(v.rlike(_GSTIN), F.when(gstin_valid(v), make(0, "gst", v)))
             .when(v.rlike(udyam), make(2, "udyam", F.regexp_replace(v, udyam, "UDYAM-$1-$2-$3")))
@@ -58,12 +58,18 @@ def registrations(c: Column) -> Column:
             .when(v.rlike("^[A-Z0-9/]{5,}$") & v.rlike("[0-9]"), make(4, "other", v))
         )
 
-    return F.array_sort(F.array_distinct(F.array_compact(F.transform(parts, read))))
+    values = F.transform(parts, lambda p: F.upper(F.regexp_replace(F.regexp_replace(F.trim(p), label, ""), r"[\s\-_.]", "")))
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(values, read))))
 
 
 def website(c: Column) -> Column:
     """Host without ``www.`` and path without ending slashes, lower-cased host; empty if it is no address."""
-    x = F.regexp_replace(T.strip_null_like(c), r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//", "")
+    return website_of(T.strip_null_like(c))
+
+
+def website_of(x: Column) -> Column:
+    """``website`` of a text that ``strip_null_like`` gave."""
+    x = F.regexp_replace(x, r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//", "")
     host = F.regexp_replace(F.lower(F.regexp_extract(x, r"^([^/?#\s]*)", 1)), r"^www\.", "")
     path = F.regexp_replace(F.regexp_extract(x, r"^[^/?#\s]*(/[^?#\s]*)", 1), "/+$", "")
     return F.when(host.rlike(r"^(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,}$"), F.concat(host, path)).otherwise("")
@@ -117,11 +123,15 @@ PAGE_FOOTER = r"^(?:page\s*)?\d+(?:\s*(?:of|/)\s*\d+)?$"
 
 def name_problem(c: Column) -> Column:
     """Issue of a name, else null: missing_name, invalid_name (header, number, too short, no letter) or suspicious_name (over 160 characters)."""
-    n = T.normal(c)
+    return problem_of(T.squeeze(c), T.normal(c))
+
+
+def problem_of(x: Column, n: Column) -> Column:
+    """``name_problem`` of a name that ``squeeze`` gave and its normal form."""
     return (
         F.when(n == "", "missing_name")
         .when(n.isin(NOT_NAMES) | n.rlike(PAGE_FOOTER) | n.rlike("^[0-9 ]+$") | (F.length(n) < 2), "invalid_name")
-        .when(F.length(T.squeeze(c)) > 160, "suspicious_name").when(~T.squeeze(c).rlike(r"\p{L}"), "invalid_name")
+        .when(F.length(x) > 160, "suspicious_name").when(~x.rlike(r"\p{L}"), "invalid_name")
     )
 
 

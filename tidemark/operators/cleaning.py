@@ -33,14 +33,6 @@ FLAG = "struct<issue_type:string,severity:string,field:string,value:string>"
 FIELDS = ["name", "city", "state", "district", "pincode", "address", "phone", "email", "website", "registration_id", "category"]
 
 
-def _flag(ok: Column, issue: str, severity: str, field: str, value: Column) -> Column:
-    return F.array(F.when(ok, F.struct(F.lit(issue).alias("issue_type"), F.lit(severity).alias("severity"), F.lit(field).alias("field"), value.cast("string").alias("value"))))
-
-
-def _flags(bad: Column, issue: str, field: str) -> Column:
-    return F.transform(bad, lambda x: F.struct(F.lit(issue).alias("issue_type"), F.lit("warning").alias("severity"), F.lit(field).alias("field"), x.alias("value")))
-
-
 def type_hint(normalized: Column, keywords: dict[str, list[str]]) -> Column:
     """First kind one of whose keywords starts a word of the name, else empty."""
     padded = F.concat(F.lit(" "), normalized)
@@ -51,7 +43,13 @@ def place_hint(forms: Column, normalized: Column, places: tuple[str, ...], synon
     """The known place that a name ends in behind other words, else empty: the longest."""
     if not places:
         return F.lit("")
-    words = F.split(normalized, " ")
+    return hint_of(F.split(normalized, " "), places, synonyms)
+
+
+def hint_of(words: Column, places: tuple[str, ...], synonyms: dict[str, str]) -> Column:
+    """``place_hint`` of a normal name's words."""
+    if not places:
+        return F.lit("")
     longest = max(len(p.split()) for p in places)
     tail = lambda n: F.array_join(F.slice(words, F.greatest(F.size(words) - n + 1, F.lit(1)), F.lit(n)), " ")
     named = lambda n: F.coalesce(P.lookup(synonyms, tail(n)), tail(n))
@@ -67,49 +65,96 @@ def strength(have: dict[str, Column], emails: Column, registration: Column) -> C
     return F.least(F.lit(100), score)
 
 
-def _steps(raw: DataFrame, gazetteer: P.Gazetteer, words: N.Words | None, id_col: str) -> tuple[DataFrame, dict[str, Column], Column]:
-    """Raw records with the parts that clean columns are made of, the flags of each issue, and whether the name stands."""
-    words = words or N.Words(places=gazetteer.places())
-    col = lambda n: (F.col(f"original_{n}") if f"original_{n}" in raw.columns else F.lit(None)).cast("string")
-    role = F.col("text_role") if "text_role" in raw.columns else F.lit(None).cast("string")
-    year = F.substring(F.col("modified").cast("string"), 1, 4).try_cast("int") if "modified" in raw.columns else F.lit(None).cast("int")
-    given = lambda n: T.strip_null_like(col(n))
-    step = raw.select(
-        F.col(id_col).alias("record_id"), *[given(n).alias(f"g_{n}") for n in FIELDS], *[col(n).alias(f"o_{n}") for n in FIELDS], role.alias("role"), year.alias("source_year"),
-        N.name_forms(given("name"), words).alias("forms"), gazetteer.city(col("city")).alias("city"), gazetteer.state(col("state")).alias("state"),
-        gazetteer.district(col("district")).alias("district_norm"), T.pincode(F.when(F.regexp_replace(given("pincode"), "[^0-9]", "").rlike("^[1-9][0-9]{5}$"), given("pincode"))).alias("pin"),
-        T.pincode(col("address")).alias("pin_in_address"), T.phone_parts(col("phone")).alias("phones"), T.email_parts(col("email")).alias("mails"),
-        V.website(col("website")).alias("website_norm"), F.try_element_at(V.registrations(col("registration_id")), F.lit(1)).alias("reg"),
-        P.address(col("address")).alias("address_norm"), T.normal(col("category")).alias("category_norm"), V.name_problem(col("name")).alias("problem"),
-    )
-    bad_city = (F.col("city") != "") & (F.col("city").rlike("^[0-9]+$") | (F.length("city") < 2))
-    hint = place_hint(F.col("forms"), F.col("forms.normalized"), gazetteer.places(), gazetteer.synonyms)
-    step = step.withColumns({
-        "city_norm": F.when(bad_city, "").otherwise(F.col("city")), "bad_city": bad_city, "place_hint": hint,
-        "pincode": F.when(F.col("pin") != "", F.col("pin")).otherwise(F.col("pin_in_address")),
-        "phones_all": F.array_distinct(F.transform(F.filter("phones", lambda p: p["kind"] == "valid"), lambda p: p["number"])),
-        "emails_all": F.array_distinct(F.transform(F.filter("mails", lambda m: m["valid"]), lambda m: m["address"])),
-    })
-    known = F.col("state").isin(list(gazetteer.states))
-    in_state, pin_state = gazetteer.state_of_city(F.col("city_norm")), gazetteer.state_of_pin(F.col("pincode"))
-    nothing = F.col("problem") == "missing_name"
-    line = nothing & F.col("role").isNotNull() & ~F.col("role").isin("", "entity")
-    flags = (
-        _flag(line, "not_an_entity_line", "info", "name", F.lit("")), _flag(nothing & ~line, "missing_name", "error", "name", F.col("g_name")),
-        _flag(F.col("problem") == "invalid_name", "invalid_name", "error", "name", F.col("g_name")), _flag(F.col("problem") == "suspicious_name", "suspicious_name", "warning", "name", F.left("g_name", F.lit(120))),
-        _flag((F.col("state") != "") & ~known, "unknown_state", "warning", "state", F.col("o_state")), _flag(F.col("bad_city"), "invalid_city", "warning", "city", F.col("o_city")),
-        _flag((F.coalesce("o_pincode", F.lit("")) != "") & (F.col("pin") == ""), "invalid_pincode", "warning", "pincode", F.col("o_pincode")),
-        _flag(in_state.isNotNull() & (F.col("state") != "") & (in_state != F.col("state")), "city_state_mismatch", "warning", "state", F.concat_ws(" / ", "o_city", "o_state")),
-        _flag(pin_state.isNotNull() & (F.col("pincode") != "") & (F.col("state") != "") & (pin_state != F.col("state")), "pincode_state_mismatch", "warning", "pincode", F.col("pincode")),
-        _flag((F.col("city_norm") != "") & (F.col("place_hint") != "") & (F.col("place_hint") != F.col("city_norm")), "city_name_conflict", "warning", "city", F.concat_ws(" vs ", "place_hint", "city_norm")),
-        _flags(F.transform(F.filter("phones", lambda p: p["kind"] == "invalid"), lambda p: p["raw"]), "invalid_phone", "phone"),
-        _flags(F.transform(F.filter("phones", lambda p: p["kind"] == "placeholder"), lambda p: p["raw"]), "placeholder_phone", "phone"),
-        _flags(F.transform(F.filter("mails", lambda m: ~m["valid"]), lambda m: m["raw"]), "invalid_email", "email"),
-        _flag((F.col("g_website") != "") & (F.col("website_norm") == ""), "invalid_website", "warning", "website", F.col("g_website")),
-        _flag((F.col("g_registration_id") != "") & F.col("reg").isNull(), "invalid_registration_id", "warning", "registration_id", F.col("g_registration_id")),
-    )
-    unnamed = F.coalesce((nothing & ~line) | (F.col("problem") == "invalid_name"), F.lit(False))
-    return step, dict(zip(ISSUES, flags, strict=True)), (F.col("forms.normalized") != "") & ~unnamed
+#: Parts that filters on clean columns must not be moved below: said in raw columns, these are hundreds of searches long.
+_HELD = {"name_normalized", "forms", "place_hint", "problem", "city", "state", "district_norm", "pin", "pin_in_address", "phones", "mails", "website_norm", "reg", "address_norm"}
+
+
+class _Parts:
+    """Columns made from raw records, each when it is first asked for, once, and in a projection behind those of the parts it needs."""
+
+    def __init__(self, raw: DataFrame, gazetteer: P.Gazetteer, words: N.Words | None, id_col: str):
+        col = lambda n: (F.col(f"original_{n}") if f"original_{n}" in raw.columns else F.lit(None)).cast("string")
+        role = F.col("text_role") if "text_role" in raw.columns else F.lit(None).cast("string")
+        year = F.substring(F.col("modified").cast("string"), 1, 4).try_cast("int") if "modified" in raw.columns else F.lit(None).cast("int")
+        self.raw = raw.select(F.col(id_col).alias("record_id"), *[col(n).alias(f"o_{n}") for n in FIELDS], role.alias("role"), year.alias("source_year"))
+        self.recipes = _recipes(gazetteer, words or N.Words(places=gazetteer.places()))
+        self.levels = dict.fromkeys(self.raw.columns, 0)
+        self.stages: list[dict[str, Column]] = []
+        self._deepest = 0
+
+    def __call__(self, name: str) -> Column:
+        if name not in self.levels:
+            outer, self._deepest = self._deepest, 0
+            made = self.recipes[name](self)
+            level, self._deepest = self._deepest + 1, outer
+            self.stages += [{} for _ in range(level - len(self.stages))]
+            # Spark moves no filter below a row number, and drops it with the part
+            self.stages[level - 1][name] = F.when(F.monotonically_increasing_id() >= 0, made) if name in _HELD else made
+            self.levels[name] = level
+        self._deepest = max(self._deepest, self.levels[name])
+        return F.col(name)
+
+    def frame(self) -> DataFrame:
+        """Raw records with the parts that were asked for."""
+        step = self.raw
+        for stage in self.stages:
+            step = step.withColumns(stage)
+        return step
+
+
+def _recipes(g: P.Gazetteer, words: N.Words) -> dict:
+    """How a part is made of others: ``o_`` columns as given, ``q_`` squeezed, ``g_`` without null-like values, ``l_`` in lower case, ``n_`` in normal form."""
+    made = {}
+    for n in FIELDS:
+        made[f"q_{n}"] = lambda p, n=n: T.squeeze_odd(p(f"o_{n}"))
+        made[f"g_{n}"] = lambda p, n=n: T.given(p(f"q_{n}"))
+        made[f"n_{n}"] = lambda p, n=n: T.plain_odd(p(f"l_{n}"))
+        made[f"l_{n}"] = lambda p, n=n: F.lower(p(f"g_{n}"))
+    return made | {
+        "name_phrased": lambda p: N.phrases(p("l_name"), words), "name_squeezed": lambda p: T.squeeze_odd(p("name_phrased")), "name_given": lambda p: T.given(p("name_squeezed")),
+        "name_plain": lambda p: T.plain_odd(p("name_given")), "name_normalized": lambda p: N.spelt(p("name_plain"), words), "forms": lambda p: N.forms_of(p("name_normalized"), words),
+        "name_words": lambda p: F.split(p("name_normalized"), " "), "place_hint": lambda p: hint_of(p("name_words"), g.places(), g.synonyms),
+        "problem": lambda p: V.problem_of(p("q_name"), p("n_name")),
+        "city_first": lambda p: g.synonym(p("n_city")), "city_alone": lambda p: g.before_state(p("city_first")), "city": lambda p: g.synonym(p("city_alone")),
+        "bad_city": lambda p: (p("city") != "") & (p("city").rlike("^[0-9]+$") | (F.length(p("city")) < 2)), "city_norm": lambda p: F.when(p("bad_city"), "").otherwise(p("city")),
+        "state": lambda p: g.state_of(p("n_state")), "district_alone": lambda p: g.undistrict(p("n_district")), "district_norm": lambda p: g.synonym(p("district_alone")),
+        "pin": lambda p: T.pincode(F.when(F.regexp_replace(p("g_pincode"), "[^0-9]", "").rlike("^[1-9][0-9]{5}$"), p("g_pincode"))), "pin_in_address": lambda p: T.pincode(p("o_address")),
+        "pincode": lambda p: F.when(p("pin") != "", p("pin")).otherwise(p("pin_in_address")),
+        "state_in_city": lambda p: g.state_of_city(p("city_norm")), "state_in_pin": lambda p: g.state_of_pin(p("pincode")),
+        "phones": lambda p: T.phone_parts(p("o_phone")), "mails": lambda p: T.email_parts_of(p("g_email")),
+        "phones_all": lambda p: F.array_distinct(F.transform(F.filter(p("phones"), lambda x: x["kind"] == "valid"), lambda x: x["number"])),
+        "emails_all": lambda p: F.array_distinct(F.transform(F.filter(p("mails"), lambda x: x["valid"]), lambda x: x["address"])),
+        "website_norm": lambda p: V.website_of(p("g_website")), "reg": lambda p: F.try_element_at(V.registrations(p("o_registration_id")), F.lit(1)),
+        "address_norm": lambda p: P.address_of(p("n_address")), "category_norm": lambda p: p("n_category"),
+    }
+
+
+def _checks(states: list[str]) -> dict:
+    """Issue -> (severity, field, wrong, value): whether a record has it, and the value at fault; without a value, ``wrong`` lists those at fault."""
+    nothing = lambda p: p("problem") == "missing_name"
+    line = lambda p: nothing(p) & p("role").isNotNull() & ~p("role").isin("", "entity")
+    of_kind = lambda kind: lambda p: F.transform(F.filter(p("phones"), lambda x: x["kind"] == kind), lambda x: x["raw"])
+    return {
+        "not_an_entity_line": ("info", "name", line, lambda p: F.lit("")), "missing_name": ("error", "name", lambda p: nothing(p) & ~line(p), lambda p: p("g_name")),
+        "invalid_name": ("error", "name", lambda p: p("problem") == "invalid_name", lambda p: p("g_name")),
+        "suspicious_name": ("warning", "name", lambda p: p("problem") == "suspicious_name", lambda p: F.left(p("g_name"), F.lit(120))),
+        "unknown_state": ("warning", "state", lambda p: (p("state") != "") & ~p("state").isin(states), lambda p: p("o_state")),
+        "invalid_city": ("warning", "city", lambda p: p("bad_city"), lambda p: p("o_city")),
+        "invalid_pincode": ("warning", "pincode", lambda p: (F.coalesce(p("o_pincode"), F.lit("")) != "") & (p("pin") == ""), lambda p: p("o_pincode")),
+        "city_state_mismatch": ("warning", "state", lambda p: p("state_in_city").isNotNull() & (p("state") != "") & (p("state_in_city") != p("state")), lambda p: F.concat_ws(" / ", p("o_city"), p("o_state"))),
+        "pincode_state_mismatch": ("warning", "pincode", lambda p: p("state_in_pin").isNotNull() & (p("pincode") != "") & (p("state") != "") & (p("state_in_pin") != p("state")), lambda p: p("pincode")),
+        "city_name_conflict": ("warning", "city", lambda p: (p("city_norm") != "") & (p("place_hint") != "") & (p("place_hint") != p("city_norm")), lambda p: F.concat_ws(" vs ", p("place_hint"), p("city_norm"))),
+        "invalid_phone": ("warning", "phone", of_kind("invalid"), None), "placeholder_phone": ("warning", "phone", of_kind("placeholder"), None),
+        "invalid_email": ("warning", "email", lambda p: F.transform(F.filter(p("mails"), lambda x: ~x["valid"]), lambda x: x["raw"]), None),
+        "invalid_website": ("warning", "website", lambda p: (p("g_website") != "") & (p("website_norm") == ""), lambda p: p("g_website")),
+        "invalid_registration_id": ("warning", "registration_id", lambda p: (p("g_registration_id") != "") & p("reg").isNull(), lambda p: p("g_registration_id")),
+    }
+
+
+def _flags(p: _Parts, issue: str, severity: str, field: str, wrong, value) -> Column:
+    """Flags of one issue, with nulls where there is none."""
+    flag = lambda v: F.struct(F.lit(issue).alias("issue_type"), F.lit(severity).alias("severity"), F.lit(field).alias("field"), v.cast("string").alias("value"))
+    return F.array(F.when(wrong(p), flag(value(p)))) if value else F.transform(wrong(p), flag)
 
 
 def clean(raw: DataFrame, gazetteer: P.Gazetteer = P.Gazetteer(), words: N.Words | None = None, keywords: dict[str, list[str]] | None = None, id_col: str = "record_id") -> DataFrame:
@@ -118,8 +163,13 @@ def clean(raw: DataFrame, gazetteer: P.Gazetteer = P.Gazetteer(), words: N.Words
     ``text_role`` (if there) says that a line without a name is no entity line.
     ``is_resolvable``: there is a normal name and nothing wrong with it.
     """
-    step, made, resolvable = _steps(raw, gazetteer, words, id_col)
-    step = step.withColumn("flags", F.array_compact(F.concat(*made.values())))
+    p, checks = _Parts(raw, gazetteer, words, id_col), _checks(list(gazetteer.states))
+    flags = F.array_compact(F.concat(*[_flags(p, k, *checks[k]) for k in ISSUES]))
+    unnamed = F.coalesce(checks["missing_name"][2](p) | checks["invalid_name"][2](p), F.lit(False))
+    resolvable = (p("name_normalized") != "") & ~unnamed
+    for name in ("forms", "district_norm", "address_norm", "category_norm", "phones_all", "emails_all"):
+        p(name)
+    step = p.frame().withColumn("flags", flags)
     rank = F.array_max(F.transform("flags", lambda f: F.array_position(F.array(*map(F.lit, SEVERITIES)), f["severity"])))
     have = {
         "city": (F.col("city_norm") != "") | (F.col("place_hint") != ""), "state": F.col("state") != "", "district": F.col("district_norm") != "", "address": F.length("address_norm") >= 8,
@@ -127,15 +177,15 @@ def clean(raw: DataFrame, gazetteer: P.Gazetteer = P.Gazetteer(), words: N.Words
     }
     first = lambda c: F.coalesce(F.try_element_at(F.col(c), F.lit(1)), F.lit(""))
     return step.select(
-        "record_id", F.col("forms.normalized").alias("name_normalized"), F.col("forms.core").alias("name_core"), V.title_case(F.col("forms.normalized")).alias("name_display"), "place_hint",
+        "record_id", "name_normalized", F.col("forms.core").alias("name_core"), V.title_case(F.col("name_normalized")).alias("name_display"), "place_hint",
         F.col("forms.variants").alias("name_variants"), F.col("forms.acronym").alias("acronym_key"), "city_norm", P.display(F.col("city_norm")).alias("city_display"),
         "district_norm", P.display(F.col("district_norm")).alias("district_display"), F.col("state").alias("state_norm"), P.display(F.col("state")).alias("state_display"), "pincode", "address_norm",
         first("phones_all").alias("phone_norm"), "phones_all", first("emails_all").alias("email_norm"), "emails_all", "website_norm",
         F.substring_index("website_norm", "/", 1).alias("website_domain"), F.coalesce("reg.value", F.lit("")).alias("registration_id_norm"), F.coalesce("reg.kind", F.lit("")).alias("registration_type"),
-        "category_norm", type_hint(F.col("forms.normalized"), keywords or {}).alias("entity_type_hint"), "source_year", strength(have, F.col("emails_all"), F.col("reg")).alias("evidence_strength"),
+        "category_norm", type_hint(F.col("name_normalized"), keywords or {}).alias("entity_type_hint"), "source_year", strength(have, F.col("emails_all"), F.col("reg")).alias("evidence_strength"),
         F.coalesce(F.try_element_at(F.array(*map(F.lit, SEVERITIES)), rank.cast("int")), F.lit("ok")).alias("quality_severity"),
         F.transform("flags", lambda f: f["issue_type"]).alias("quality_flags"),
-        # not said by the flags: a filter on it moves below the projections, and all that makes flags would go along
+        # not said by the flags: all that makes them would go along
         resolvable.alias("is_resolvable"), "flags",
     )
 
@@ -148,8 +198,21 @@ def issues(cleaned: DataFrame) -> DataFrame:
 
 def issues_of(raw: DataFrame, *kinds: str, gazetteer: P.Gazetteer = P.Gazetteer(), words: N.Words | None = None, id_col: str = "record_id") -> DataFrame:
     """The issues of ``kinds`` (of ``ISSUES``) in raw records, as ``issues`` gives them; nothing else is computed."""
-    step, made, _ = _steps(raw, gazetteer, words, id_col)
-    return step.select("record_id", F.inline(F.array_compact(F.concat(*[made[k] for k in kinds]))))
+    p, checks = _Parts(raw, gazetteer, words, id_col), _checks(list(gazetteer.states))
+    made = F.concat(*[_flags(p, k, *checks[k]) for k in kinds])
+    return p.frame().select("record_id", F.inline_outer(made)).where("issue_type is not null")
+
+
+def records_with(raw: DataFrame, *kinds: str, gazetteer: P.Gazetteer = P.Gazetteer(), words: N.Words | None = None, id_col: str = "record_id") -> DataFrame:
+    """(record_id, issue_type, severity): one row per raw record and kind of issue it has, however many values are at fault; only what tells is computed."""
+    p, checks = _Parts(raw, gazetteer, words, id_col), _checks(list(gazetteer.states))
+
+    def found(kind: str) -> Column:
+        severity, _, wrong, value = checks[kind]
+        return F.when(wrong(p) if value else F.size(wrong(p)) > 0, F.struct(F.lit(kind).alias("issue_type"), F.lit(severity).alias("severity")))
+
+    made = F.array(*map(found, kinds))
+    return p.frame().select("record_id", F.inline_outer(made)).where("issue_type is not null")
 
 
 def entity_issues(folded: DataFrame, key: str, columns: list[str]) -> DataFrame:
