@@ -49,6 +49,7 @@ def test_repeated_phrases_and_parts(spark):
 SQUEEZED = {
     "issue_counts": 11,
     "issue_city_name_conflict": 3,
+    "issue_invalid_phone": 1,
 }
 
 
