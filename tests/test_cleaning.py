@@ -50,6 +50,7 @@ SQUEEZED = {
     "issue_counts": 11,
     "issue_city_name_conflict": 3,
     "issue_invalid_phone": 1,
+    "issue_unknown_state": 1,
 }
 
 
