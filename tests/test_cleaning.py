@@ -51,6 +51,7 @@ SQUEEZED = {
     "issue_city_name_conflict": 3,
     "issue_invalid_phone": 1,
     "issue_unknown_state": 1,
+    "issue_invalid_email": 1,
 }
 
 
