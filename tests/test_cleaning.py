@@ -52,6 +52,7 @@ SQUEEZED = {
     "issue_invalid_phone": 1,
     "issue_unknown_state": 1,
     "issue_invalid_email": 1,
+    "issue_missing_name": 1,
 }
 
 
