@@ -53,6 +53,7 @@ SQUEEZED = {
     "issue_unknown_state": 1,
     "issue_invalid_email": 1,
     "issue_missing_name": 1,
+    "issue_placeholder_phone": 1,
 }
 
 
