@@ -54,6 +54,7 @@ SQUEEZED = {
     "issue_invalid_email": 1,
     "issue_missing_name": 1,
     "issue_placeholder_phone": 1,
+    "issue_not_an_entity_line": 1,
 }
 
 
