@@ -55,6 +55,7 @@ SQUEEZED = {
     "issue_missing_name": 1,
     "issue_placeholder_phone": 1,
     "issue_not_an_entity_line": 1,
+    "issue_invalid_name": 1,
 }
 
 
