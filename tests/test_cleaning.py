@@ -56,6 +56,7 @@ SQUEEZED = {
     "issue_placeholder_phone": 1,
     "issue_not_an_entity_line": 1,
     "issue_invalid_name": 1,
+    "issue_invalid_registration_id": 3,
 }
 
 
