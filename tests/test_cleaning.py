@@ -57,6 +57,7 @@ SQUEEZED = {
     "issue_not_an_entity_line": 1,
     "issue_invalid_name": 1,
     "issue_invalid_registration_id": 3,
+    "issue_suspicious_name": 1,
 }
 
 
