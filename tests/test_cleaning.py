@@ -59,6 +59,7 @@ SQUEEZED = {
     "issue_invalid_registration_id": 3,
     "issue_suspicious_name": 1,
     "issue_invalid_pincode": 1,
+    "issue_invalid_website": 1,
 }
 
 
