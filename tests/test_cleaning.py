@@ -60,6 +60,7 @@ SQUEEZED = {
     "issue_suspicious_name": 1,
     "issue_invalid_pincode": 1,
     "issue_invalid_website": 1,
+    "issue_pincode_state_mismatch": 2,
 }
 
 
