@@ -62,6 +62,7 @@ SQUEEZED = {
     "issue_invalid_website": 1,
     "issue_pincode_state_mismatch": 2,
     "issue_city_state_mismatch": 2,
+    "issue_invalid_city": 1,
 }
 
 
