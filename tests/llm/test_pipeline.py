@@ -84,3 +84,19 @@ def test_memos_go(spark):
 
     packing._TOKENIZERS["x", 2] = None
     assert list(tidy(lambda batches: (len(packing._TOKENIZERS) for _ in batches))([1])) == [0]
+
+
+def test_driver_settles(spark, monkeypatch):
+    """What the driver has freed outside its heap goes back after each table that a stage writes, and around training."""
+    from tidemark.llm import common, toxicity
+
+    monkeypatch.setattr(common, "_settled", -common.SETTLE_EVERY)
+    assert common.settle(spark) and not common.settle(spark)
+    calls = []
+    for module in (common, toxicity):
+        monkeypatch.setattr(module, "settle", calls.append)
+    docs = spark.createDataFrame([(1, "a b c d e f", "en", "s", 11)], "doc_id long, text string, lang string, source string, n_chars long")
+    P.drop_near_copies(spark, docs, SF)
+    written = len(calls)
+    P.drop_toxic(spark, docs, SF)
+    assert written >= 8 and len(calls) >= written + 2

@@ -11,11 +11,13 @@ import ctypes
 import gc
 import re
 import tempfile
+import time
 import uuid
 from contextlib import contextmanager
 from functools import reduce
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,42 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Seconds between two settlings of the driver.
+SETTLE_EVERY = 2.0
+_settled = -SETTLE_EVERY
+
+
+def settle(spark: SparkSession) -> bool:
+    """Give what the driver's JVM has freed outside its heap back to the system, at most once in ``SETTLE_EVERY`` seconds; whether it was done.
+
+    Plans are compiled on many threads, each with an allocator arena that keeps
+    what it once held: hundreds of megabytes over a chain of operators.  A JVM
+    that has no such command (before 17.0.9, or not on Linux) goes on as it is.
+    """
+    global _settled
+    if time.monotonic() < _settled + SETTLE_EVERY:
+        return False
+    _settled = time.monotonic()
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    of = jvm.java.lang.Class.forName
+
+    def array(kind, *values):
+        out = new(kind, len(values))
+        for i, v in enumerate(values):
+            out[i] = v
+        return out
+
+    try:
+        # by reflection, as the server's own class is not open to callers
+        call = of("javax.management.MBeanServer").getMethod("invoke", array(jvm.java.lang.Class, *map(of, ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"))))
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        none = array(jvm.java.lang.Object), array(jvm.java.lang.String)
+        call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), array(jvm.java.lang.Object, name, "systemTrimNativeHeap", *none))
+    except Py4JError:
+        return False
+    return True
+
+
 #: Folders of runs that may still be read, oldest first.
 _open: list[Scratch] = []
 
@@ -58,6 +96,7 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it again: lineage ends here."""
         df.write.mode("overwrite").parquet(self.path(name))
+        settle(self.spark)
         return self.read(name, df)
 
     def read(self, name: str, like: DataFrame) -> DataFrame:

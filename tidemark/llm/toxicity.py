@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import tidy
+from tidemark.llm.common import settle, tidy
 
 _STRIP = string.punctuation + "«»„“”‘’¿¡…–—"
 #: Words that are worked on at once.
@@ -316,7 +316,9 @@ def train(labelled: DataFrame, cfg: Config = Config(), cut: float = 0.3) -> Mode
     back: on it the score is shifted so that ``cut`` is the best threshold over
     all rows, and thresholds by language are set.  Equal rows count once.
     """
+    settle(labelled.sparkSession)
     made = sample(labelled, cfg).repartition(1).mapInArrow(tidy(_trainer(cfg, cut)), "model binary").collect()
+    settle(labelled.sparkSession)
     return pickle.loads(made[0]["model"]) if made else _prior(np.zeros(0), cfg)
 
 
